@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, secrets
+from . import langid, mixing, oracles, packing, quality, secrets, substring, suffix
 from .common import table
 
 
@@ -15,8 +15,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_words(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    rows = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.drop("host_rate")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +44,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_packing, op9_source_mixing, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_suffix_dedup, op5_quality_rules, op6_packing, op9_source_mixing, op10_language_id)
+}
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op3_suffix_dedup": oracles.SUFFIX, "op5_quality_rules": oracles.QUALITY}
