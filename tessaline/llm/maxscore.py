@@ -63,10 +63,12 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarra
 
 
 def prepare(vectors: np.ndarray, largest: int) -> tuple:
-    """Ranges, columns and number type of a shard: doubles where every sum is exact in them, else integers of any size."""
+    """Ranges, columns and number type of a shard: doubles where every sum is exact in them, else 64-bit integers."""
     low, high = vectors.min(0), vectors.max(0)
     most = int(largest) * int(np.abs(vectors).max(initial=0)) * 2 * max(vectors.shape[1], 1)
-    kind = np.float64 if most < 1 << 52 else np.int64 if most < 1 << 62 else object
+    if most >= 1 << 62:
+        raise OverflowError("scores do not fit 64 bits")
+    kind = np.float64 if most < 1 << 52 else np.int64
     return low, high, np.ascontiguousarray(vectors.T).astype(kind), kind
 
 
@@ -75,8 +77,8 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
 
     Components become floor(scale * x). Vectors that are null or hold a null or a component that is not finite, and null ids,
     take no part; shorter vectors count as padded with zeros; a row never answers a query of its own id; repeated rows
-    are candidates and queries once each, ranked one after another; other columns are ignored and an empty table gives an
-    empty result. Queries meet shards in blocks, so what a task holds is a shard and a block of queries.
+    are candidates each, ranked one after another, and ask once; one id with several vectors asks with each; other columns are ignored and an empty table gives an
+    empty result. Scores beyond 64 bits are an error. Queries meet shards in blocks, so what a task holds is a shard and a block of queries.
     """
     ok = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(ok)
@@ -86,23 +88,23 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     place = F.xxhash64("vec_id", "c")
     left = rows.select("vec_id", "c", F.pmod(place, F.lit(shards)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("h"))
-    right = queries.select("vec_id", "c", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("g"), F.pmod(place, F.lit(blocks)).cast("int").alias("h"))
+    right = queries.select("vec_id", "c", place.alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("g"), F.pmod(place, F.lit(blocks)).cast("int").alias("h"))
 
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if len(shard) and len(block):
             ids, lists = shard.column("vec_id").to_numpy(), shard.column("c").to_pylist()
-            asked, wanted = block.column("vec_id").to_pylist(), block.column("c").to_pylist()
+            asked, wanted = list(zip(block.column("vec_id").to_pylist(), block.column("q").to_pylist(), strict=True)), block.column("c").to_pylist()
             width = max(map(len, [*lists, *wanted]))
             order = np.argsort(ids, kind="stable")
             ids, vectors, wanted = ids[order], matrix(lists, width)[order], matrix(wanted, width)
             ready = prepare(vectors, int(np.abs(wanted).max(initial=0)))
             for q, c in zip(asked, wanted, strict=True):
-                out += [(q, i, s) for i, s in search(ids, vectors, q, c, k, ready)]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
+                out += [(*q, i, s) for i, s in search(ids, vectors, q[0], c, k, ready)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=schema)
 
-    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(run, "query_id long, q long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, oracles, packing, quality, secrets, substring, suffix
+from . import langid, maxscore, mixing, neardup, oracles, packing, quality, secrets, substring, suffix, urlfilter
 from .common import table
 
 
@@ -23,6 +24,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(table(spark, sf_dir, "documents"))
     return rows.drop("host_rate")
@@ -34,6 +39,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example list over all pages; their fetch times are made from page_id, as the table has none."""
+    at = F.expr(f"timestamp '{urlfilter.FIRST_DAY} 00:00:00' + make_dt_interval(cast(page_id % 366 as int))")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched"))
+    return urlfilter.temporal_filter(pages, urlfilter.example_entries(spark))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of all documents, all sources weighing the same."""
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
@@ -45,7 +61,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_suffix_dedup, op5_quality_rules, op6_packing, op9_source_mixing, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_substring_dedup,
+        op3_suffix_dedup,
+        op4_exact_top_k,
+        op5_quality_rules,
+        op6_packing,
+        op7_url_filter,
+        op8_minhash_near_dedup,
+        op9_source_mixing,
+        op10_language_id,
+    )
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op3_suffix_dedup": oracles.SUFFIX, "op5_quality_rules": oracles.QUALITY}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING,
+    "op3_suffix_dedup": oracles.SUFFIX,
+    "op4_exact_top_k": oracles.TOP_K,
+    "op5_quality_rules": oracles.QUALITY,
+    "op7_url_filter": oracles.URL_FILTER.format(entries=", ".join(str(e) for e in urlfilter.ENTRIES), first=urlfilter.FIRST_DAY),
+}
