@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.llm import langid, mixing, packing, secrets
+from tessaline.llm import langid, mixing, neardup, packing, secrets
 from tessaline.storage import materialise
 
 
@@ -13,6 +13,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.filter_languages(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of least id, of each class of near-duplicates."""
+    return neardup.deduplicate(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; every document stays."""
     return secrets.redact(docs)
@@ -30,7 +35,7 @@ def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", language_id), ("secret_scan", secret_scan), ("source_mixing", source_mixing), ("token_packing", token_packing)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mixing", source_mixing), ("token_packing", token_packing)]
 
 #: Trained models and sequential packing are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
