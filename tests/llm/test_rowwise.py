@@ -93,7 +93,9 @@ def test_encoder_equals_the_library():
     rng = random.Random(2)
     pool = list("ab C9'sre\n\t.,éß中\U0001f600́½١  　\x1c\x85​\x00") + ["  ", "'ll", " the", "<|endoftext|>", "\r\n"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(2000)]
-    got = packing.encoder(PATH, remember=500)(texts)
+    texts += [" ".join("".join(rng.choice(pool[:8] + ["\n", "'s", "é", "²", "<|endoftext|>"]) for _ in range(rng.randrange(1, 6))).replace(" ", "") for _ in range(20)) for _ in range(500)]
+    texts += ["a ", " a", "a  b", " ", "", "a \n b", "\u3000 a"]
+    got = packing.encoder(PATH)(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
