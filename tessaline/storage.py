@@ -31,3 +31,10 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/tessaline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that ``materialise`` has written in this session's folder, once no result needs them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessaline")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
