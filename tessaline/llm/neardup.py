@@ -2,8 +2,10 @@
 
 A shingle is five words (all words of a shorter document). Its weight is its count times an idf that a count-min sketch of
 fixed size gives for the whole corpus. Samples of the weighted sets are banded; documents of a bucket are compared with
-its leader by weighted Jaccard similarity, and where that leaves a bucket in several classes, the documents outside
-their leader's class are compared with the bucket's members of other classes, so no pair of a bucket is left unsettled.
+its leader by weighted Jaccard similarity, which never lists the pairs of a large group. Where that leaves a bucket in several
+classes, a small bucket is compared pair by pair. The documents of a large one meet again in the finer buckets of each two bands,
+which two documents at the threshold share with a probability of 0.98, and where those are large too they meet members drawn by
+hash. All comparisons are of whole texts.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -22,6 +24,8 @@ from .common import bounded_batches, keyed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
+#: Buckets of up to so many documents are compared pair by pair; in larger ones a document meets so many others, drawn by hash.
+SMALL, DRAWS = 32, 8
 #: The sketch: two rows of so many counters, in chunks of that size.
 CELLS, CHUNK = 1 << 17, 1 << 13
 #: How much more than a shingle of all documents one of a single document weighs. Kept small: in a group of thousands of copies
@@ -137,8 +141,8 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, node, and for documents with words the bands and two bytes of every sample."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("sample", pa.list_(pa.int16()))])
+    """doc_id, node, and for documents with words their weight, the bands and two bytes of every sample."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("sample", pa.list_(pa.int16()))])
 
     def run(batches):
         for batch in batches:
@@ -146,20 +150,24 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
             nodes = [node_of(r) for r in raws]
             bands: list = [None] * len(raws)
             short: list = [None] * len(raws)
+            total: list = [None] * len(raws)
             todo: list[tuple[int, np.ndarray, np.ndarray]] = []
             size = 0
 
-            def settle(todo=todo, bands=bands, short=short) -> None:
+            def settle(todo=todo, bands=bands, short=short, total=total) -> None:
                 if not todo:
                     return
                 lens = np.array([len(h) for _, h, _ in todo])
                 h = np.concatenate([h for _, h, _ in todo])
-                s = samples(h, idf.value.weigh(h, np.concatenate([c for _, _, c in todo])), np.cumsum(lens) - lens)
+                first = np.cumsum(lens) - lens
+                w = idf.value.weigh(h, np.concatenate([c for _, _, c in todo]))
+                s = samples(h, w, first)
                 b = np.zeros((len(todo), BANDS), U64)
                 for j in range(ROWS):
                     b = mix(b ^ s[:, j::ROWS]) + U64(j)
-                for (i, _, _), band, own in zip(todo, b.view(np.int64).tolist(), s.view(np.int16)[:, ::4].tolist(), strict=True):
-                    bands[i], short[i] = band, own
+                sums = np.add.reduceat(w.astype(np.float64), first).tolist()
+                for (i, _, _), band, own, weight in zip(todo, b.view(np.int64).tolist(), s.view(np.int16)[:, ::4].tolist(), sums, strict=True):
+                    bands[i], short[i], total[i] = band, own, weight
                 todo.clear()
 
             for i, raw in enumerate(raws):
@@ -171,9 +179,9 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                         settle()
                         size = 0
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(bands, schema.field(2).type), pa.array(short, schema.field(3).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(total, pa.float64()), pa.array(bands, schema.field(3).type), pa.array(short, schema.field(4).type)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, sample array<short>")
+    return docs.mapInArrow(run, "doc_id long, node string, weight double, bands array<long>, sample array<short>")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -184,7 +192,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
             keep = [n == node_of(r or b"") for n, r in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(needed, "doc_id").select("node", "text")
+    joined = docs.join(needed.hint("merge"), "doc_id").select("node", "text")  # the same plan at every size
     return joined.mapInArrow(run, "node string, text string").dropDuplicates(["node"])
 
 
@@ -207,11 +215,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return materialise(both.mapInArrow(run, "a string, b string, linked boolean"), "links")
 
 
+def _keys(bands, weight, threshold: float):
+    """Bucket keys of a document: each band with the class of its weight and the next class.
+
+    Sets whose similarity reaches the threshold have weights within that ratio, so their classes are equal or adjoining and they
+    share a key for every band that they share; documents of other weights, such as those that share a passage, do not meet.
+    """
+    size = F.floor(F.log(weight) / float(np.log(1 / (threshold - 1e-3))))
+    of = lambda b, i: F.array(F.xxhash64(b, i, size), F.xxhash64(b, i, size + 1))
+    return F.flatten(F.transform(bands, of))
+
+
+def _pairs_of(bands: str):
+    """Each two bands as one."""
+    return F.expr(f"flatten(transform(sequence(1, size({bands}) - 1), i -> transform(slice({bands}, i + 1, size({bands})), b -> xxhash64(b, {bands}[i - 1]))))")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id for every row of ``docs``: the least doc_id that it is linked to, directly or through others.
 
     Two documents are linked if they share a bucket of samples and their weighted Jaccard similarity is at least ``threshold``, or
-    have the same words. Null texts and texts without words are classes of their own. A class takes the least of its ids that
+    have the same words. Where even a finer bucket has more than ``SMALL`` documents, one that is linked only to few of the others can
+    miss its class: it is compared with its leaders and with up to ``DRAWS`` members. Null texts and texts without words are classes of their own. A class takes the least of its ids that
     are not null; repeated rows each get their row; other columns are ignored and an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -219,10 +244,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = keyed(docs, "doc_id", "text", doc_id="long")
     idf = spark.sparkContext.broadcast(Idf(*_sketch(docs)))  # 1 MB, whatever the corpus
     rows = materialise(_signatures(docs, idf), "signatures")
-    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sample").alias("sample")), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    leaders = materialise(members.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
-    led = materialise(members.join(leaders, ["band", "key"]), "members")
+    first_of = lambda *names: [F.first(n).alias(n) for n in names]  # noqa: E731  the same in all rows of a node
+    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first_of("weight", "bands", "sample")), "nodes")
+    # the leader is the member of least id: copies tend to follow their original, and an original is nearest to all its copies
+    members = nodes.select("node", "doc_id", "weight", F.explode(_keys(F.col("bands"), F.col("weight"), threshold)).alias("key"))
+    leaders = materialise(members.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).getField("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    led = materialise(members.drop("doc_id").join(leaders, "key"), "members")
     pairs = materialise(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialise(ends.join(nodes.select("node", "doc_id"), "node"), "needed")
@@ -234,21 +261,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def with_class(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comp.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    # pairs that failed and whose ends are still apart: their first ends meet the other members of the buckets they share
-    apart = with_class(with_class(first.where("not linked").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("node"), F.col("b").alias("leader"), "ca")
-    apart = materialise(apart, "apart")
-    if apart.limit(1).count():
-        open_ = materialise(led.join(apart, ["node", "leader"]).select("band", "key", "node", "ca"), "open")
-        others = materialise(with_class(led.join(open_.select("band", "key").distinct(), ["band", "key"]), "node", "cb").where("node <> leader").select("band", "key", F.col("node").alias("other"), "cb"), "others")
-        more = open_.join(others, ["band", "key"]).where("ca <> cb").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        sample = nodes.join(others.select(F.col("other").alias("node")).distinct(), "node", "left_semi").select("node", "sample")
-        sample = materialise(sample, "samples")
-        more = more.join(sample.select(F.col("node").alias("a"), F.col("sample").alias("sa")), "a").join(sample.select(F.col("node").alias("b"), F.col("sample").alias("sb")), "b")
-        # a pair at the threshold shares fewer than half of its samples once in millions of pairs
-        alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-        more = materialise(more.where(alike >= BANDS * ROWS // 2).select("a", "b"), "more")
-        edges = edges.unionByName(_verified(more, texts, idf, threshold).where("linked").select("a", "b"))
-        comp = materialise(connected_components(edges, "a", "b"), "components")
+    inside = materialise(with_class(led, "node", "c").select("key", "n", "node", "weight", "c"), "inside")
+    open_ = inside.groupBy("key").agg(F.min("n").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    open_ = materialise(open_.select("key", "n"), "open")
+    mixed = inside.join(open_.where(F.col("n") > SMALL).select("key"), "key").select("node", "c").distinct()
+    finer = materialise(nodes.join(mixed, "node").select("node", "weight", "c", F.explode(F.array_distinct(_keys(_pairs_of("bands"), F.col("weight"), threshold))).alias("key")), "finer")
+    drawn = finer.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "c", "weight")).alias("l")).where("low <> high")
+    drawn = materialise(drawn.select("key", "n", F.col("l.node").alias("other"), F.col("l.c").alias("oc"), F.col("l.weight").alias("heft")), "drawn")
+    apart = (F.col("c") != F.col("oc")) & (F.least("weight", "heft") >= F.greatest("weight", "heft") * (threshold - 1e-6))
+    small = inside.where(F.col("n") <= SMALL).join(open_.select("key"), "key", "left_semi").select("key", "node", "c", "weight")
+    small = materialise(small.unionByName(finer.join(drawn.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", "node", "c", "weight")), "small")
+    other = small.select("key", F.col("node").alias("other"), F.col("c").alias("oc"), F.col("weight").alias("heft"))
+    pairs = small.join(other, "key").where(apart & (F.col("node") > F.col("other"))).select("node", "other")
+    large = finer.join(drawn.where(F.col("n") > SMALL).drop("n"), "key").where(apart).select("node", "other").distinct()
+    large = large.withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))).where(F.col("_i") <= DRAWS).drop("_i")
+    pairs = pairs.unionByName(large).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    samples = materialise(nodes.join(needed.select("node"), "node", "left_semi").select("node", "sample"), "samples")
+    pairs = pairs.join(samples.select(F.col("node").alias("a"), F.col("sample").alias("sa")), "a").join(samples.select(F.col("node").alias("b"), F.col("sample").alias("sb")), "b")
+    # of pairs at the threshold, 4 in 100,000 share fewer than 28 of their 48 samples; fewer than banding itself misses
+    alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    pairs = materialise(pairs.where(alike >= 28).select("a", "b"), "more")
+    links = _verified(pairs, texts, idf, threshold).where("linked").select("a", "b")
+    comp = materialise(connected_components(edges.unionByName(links), "a", "b"), "components")
     named = with_class(nodes.select("node", "doc_id"), "node", "class")
     least = materialise(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")
     by_node = materialise(named.join(least, "class").select(F.col("node").alias("_node"), "class_id"), "classes")
