@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .graph import connected_components
 
 
@@ -108,11 +109,16 @@ def reassign_members(clusters: DataFrame, scores: DataFrame) -> DataFrame:
     now = moving.join(offers.select("cluster_member", F.col("offer").alias("cluster_rep"), F.col("score").alias("own")), ["cluster_member", "cluster_rep"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
     best = offers.groupBy("cluster_member").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("offer").alias("rep"))).alias("best"))
     now = now.join(best, "cluster_member", "left")
-    # the least representative of all, for members below 0 that no representative offers more than 0
-    now = now.crossJoin(F.broadcast(reps.agg(F.min("rep").alias("least"))))
+    # members below 0 that no representative offers more: the least representative that is not below 0 with them, as one of
+    # the first k + 1 names if a member has at most k such
     offer = -F.col("best.s")
-    none = F.when(offer == 0, F.least("best.rep", "least")).otherwise(F.col("least"))
-    target = F.when((offer > F.col("own")) & (offer > 0), F.col("best.rep")).when(F.col("own") < 0, none).otherwise(F.col("cluster_rep"))
+    low = now.where((F.col("own") < 0) & (F.coalesce(offer, F.lit(0.0)) <= 0)).select("cluster_member")
+    barred = materialise(low.join(offers.where("score < 0"), "cluster_member").groupBy("cluster_member").agg(F.collect_set("offer").alias("barred")), "barred")
+    most = barred.agg(F.max(F.size("barred"))).first()[0] or 0
+    names = reps.orderBy("rep").limit(most + 1).agg(F.array_sort(F.collect_list("rep")).alias("names"))
+    free = barred.crossJoin(F.broadcast(names)).select("cluster_member", F.get(F.filter("names", lambda r: ~F.array_contains("barred", r)), F.lit(0)).alias("free"))
+    now = now.join(free, "cluster_member", "left")
+    target = F.when((offer > F.col("own")) & (offer > 0), F.col("best.rep")).when(F.col("own") < 0, F.coalesce("free", F.when(offer > F.col("own"), F.col("best.rep")), "cluster_rep")).otherwise(F.col("cluster_rep"))
     moved = now.select(target.alias("cluster_rep"), "cluster_member")
     kept = clusters.join(reps.select(F.col("rep").alias("cluster_member")), "cluster_member", "left_semi").select("cluster_rep", "cluster_member")
     return kept.unionByName(moved)

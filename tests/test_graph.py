@@ -28,3 +28,12 @@ def test_nulls_strings_and_empty(spark):
     df = spark.createDataFrame([("b", "a"), (None, "a"), ("c", "c")], "src string, dst string")
     assert sorted(map(tuple, connected_components(df).collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_intermediate_tables(spark):
+    from tessaline import storage
+
+    df = storage.materialise(spark.range(5), "x")
+    assert df.count() == 5 and df.inputFiles()[0].startswith("file:")
+    storage.clear(spark)
+    assert spark.read.schema("id long").option("ignoreMissingFiles", True).parquet(storage.shared_dir(spark)).count() == 0
