@@ -313,9 +313,18 @@ def struc_get_contact_probability(spark, a):
     sinks.write_table(out, a.outfile, header=False, single=a.single, order=["sample", "rank"])
 
 
+def _domain_table(spark, path: str, colnames: str):
+    """Domain rows as tab-separated text, CSV with a header or JSON lines."""
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).csv(path).withColumn("ordinal", F.monotonically_increasing_id())
+    if path.endswith(".json"):
+        return spark.read.json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    return tables.scan_table(spark, path, tables.PLAIN, colnames)
+
+
 @command(need("-s", "--structure_file_path"), need("-d", "--domain_file_path"), opt("-c", "--colnames", default=""), need("--domain_column"), opt("-i", "--id_column"), opt("-m", "--min_domain_length", default=1, kind=int), need("-o", "--outfile_dir"))
 def struc_get_domains(spark, a):
-    table = tables.scan_table(spark, a.domain_file_path, tables.PLAIN, a.colnames)
+    table = _domain_table(spark, a.domain_file_path, a.colnames)
     key = a.id_column or next(c for c in table.columns if c != "ordinal")
     found = X.extract_domains(structures.scan_pdb(spark, a.structure_file_path), X.domain_table(table, key, a.domain_column), a.min_domain_length)
     text = sinks.pdb_text(found, ["file", "label"])

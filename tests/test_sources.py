@@ -268,5 +268,8 @@ def test_command_line(spark, tmp_path, monkeypatch):
     domains = put(tmp_path, "dom.tsv", "chain_id\tchopping\none\t10-12\n")
     run("struc_get_domains", "-s", tmp_path / "s", "-d", domains, "--domain_column", "chopping", "-o", tmp_path / "doms")
     assert [p.name for p in (tmp_path / "doms").iterdir()] == ["one__D10-12.pdb"]
+    for name, text_ in (("dom.csv", "chain_id,chopping\none,12\n"), ("dom.json", '{"chain_id": "one", "chopping": "10"}\n')):
+        run("struc_get_domains", "-s", tmp_path / "s", "-d", put(tmp_path, name, text_), "--domain_column", "chopping", "-i", "chain_id", "-o", tmp_path / "doms")
+    assert sorted(p.name for p in (tmp_path / "doms").iterdir()) == ["one__D10-12.pdb", "one__D10.pdb", "one__D12.pdb"]
     run("struc_rebase", "-s", tmp_path / "s/one.pdb", "-o", tmp_path / "o10")
     assert text("o10").endswith("END   \n")
