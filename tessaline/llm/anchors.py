@@ -37,7 +37,7 @@ BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 #: Low bits of the ordering value that hold a position; a chunk has fewer tokens.
 PLACE_BITS = 24
-CHUNK, FLUSH = 1 << 20, 8 << 20
+CHUNK, FLUSH = 1 << 18, 4 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

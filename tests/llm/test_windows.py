@@ -73,7 +73,7 @@ def test_small_chunks_and_flushes(spark, monkeypatch):
     rng = random.Random(8)
     text = " ".join(rng.choice(["aa", "b", "ccc"]) for _ in range(900))
     assert len(anchors.word_symbols(text.encode())) == 900
-    monkeypatch.setattr(anchors, "CHUNK", 1 << 20)
+    monkeypatch.setattr(anchors, "CHUNK", 1 << 18)
     assert (anchors.word_symbols(text.encode()) == np.concatenate([anchors.word_symbols(w.encode()) for w in text.split()])).all()
 
 
@@ -102,3 +102,16 @@ def test_odd_rows(spark):
     assert sorted(map(str, map(tuple, substring.dedup_words(docs).collect()))) == sorted(map(str, brute_words(rows)))
     assert sorted(map(str, map(tuple, suffix.dedup_bytes(docs).collect()))) == sorted(map(str, brute_bytes(rows)))
     assert substring.dedup_words(docs.limit(0)).count() == 0 and suffix.dedup_bytes(docs.limit(0)).count() == 0
+
+
+def test_documents_longer_than_a_chunk(spark):
+    """Pieces of long documents overlap by a window less one, so nothing is lost or doubled at their seams."""
+    rng = np.random.default_rng(4)
+    letters = bytes(rng.integers(97, 123, 600_000, dtype=np.uint8)).decode()
+    rows = [(1, letters), (2, "0" * 60 + letters[100_000:500_000] + "1" * 60), (3, letters[262_000:262_300])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.dedup_bytes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (0, 0), 2: (400_000, 1), 3: (300, 1)}
+    words = [f"{a}" for a in rng.integers(0, 1 << 40, 560_000)]
+    rows = [(5, " ".join(words)), (7, "x " + " ".join(words[200_000:540_000]) + " y")]
+    got = {r.doc_id: r.n_removed for r in substring.dedup_words(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {5: 0, 7: 340_000}
