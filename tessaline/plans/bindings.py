@@ -520,12 +520,13 @@ def super_clusters(spark, sf):
 
 @bind("""
 WITH v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), q AS (SELECT DISTINCT user_id, 2 AS s, 9 AS e FROM v)
-SELECT q.user_id AS query, s AS qstart, e AS qend, min(i)::INT AS new_qstart, max(i)::INT AS new_qend FROM q LEFT JOIN v ON v.user_id = q.user_id AND i BETWEEN s AND e AND value >= 60 GROUP BY ALL
+SELECT q.user_id AS query, s AS qstart, e AS qend, coalesce(min(i), -1)::INT AS new_qstart, coalesce(max(i), -1)::INT AS new_qend FROM q LEFT JOIN v ON v.user_id = q.user_id AND i BETWEEN s AND e AND value >= 60 GROUP BY ALL
 """)
 def trim_by_plddt(spark, sf):
     """WIN-8."""
     v = read(spark, sf, "events").select(F.col("user_id").alias("query"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).alias("position"), F.col("value").alias("plddt"))
-    return A.trim_by_plddt(v.select("query", F.lit(2).alias("qstart"), F.lit(9).alias("qend")).distinct(), v, 60.0)
+    out = A.trim_by_plddt(v.select("query", F.lit(2).alias("qstart"), F.lit(9).alias("qend")).distinct(), v, 60.0)
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("new_qstart", "new_qend")})
 
 
 @bind("""
