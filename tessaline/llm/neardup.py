@@ -3,9 +3,8 @@
 A shingle is five words (all words of a shorter document). Its weight is its count times an idf that a count-min sketch of
 fixed size gives for the whole corpus. Samples of the weighted sets are banded; documents of a bucket are compared with
 its leader by weighted Jaccard similarity, which never lists the pairs of a large group. Where that leaves a bucket in several
-classes, a small bucket is compared pair by pair. The documents of a large one meet again in the finer buckets of each two bands,
-which two documents at the threshold share with a probability of 0.98, and where those are large too they meet members drawn by
-hash. All comparisons are of whole texts.
+classes, every two documents of different classes are compared by their samples, block by block in a large bucket, and by whole texts
+where the samples allow a link.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -24,8 +23,10 @@ from .common import bounded_batches, keyed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Buckets of up to so many documents are compared pair by pair; in larger ones a document meets so many others, drawn by hash.
-SMALL, DRAWS = 32, 8
+#: Buckets of up to so many documents are joined pair by pair; larger ones are compared in blocks of about so many, or of so many words.
+SMALL, BLOCK, WORDS = 32, 1024, 1 << 20
+#: Of pairs at the threshold, 4 in 100,000 share fewer of their 48 samples; fewer than banding itself misses.
+ALIKE = 28
 #: The sketch: two rows of so many counters, in chunks of that size.
 CELLS, CHUNK = 1 << 17, 1 << 13
 #: How much more than a shingle of all documents one of a single document weighs. Kept small: in a group of thousands of copies
@@ -226,18 +227,72 @@ def _keys(bands, weight, threshold: float):
     return F.flatten(F.transform(bands, of))
 
 
-def _pairs_of(bands: str):
-    """Each two bands as one."""
-    return F.expr(f"flatten(transform(sequence(1, size({bands}) - 1), i -> transform(slice({bands}, i + 1, size({bands})), b -> xxhash64(b, {bands}[i - 1]))))")
+def _block_links(rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) in buckets, enough to join what belongs together, from (key, p, bulk, node, c, weight, sample, bands, text).
+
+    The members of a bucket's class ``bulk`` and the rest are dealt to blocks; every block of the rest is compared with every
+    block, so no pair is left out, and members of the bulk, which are of one class, are not compared with each other. ``p`` is the
+    key's place among those of its document: a pair is compared only in the bucket of the first band that it shares, and not
+    at all once links have joined its classes.
+    """
+    rows = materialise(rows.withColumn("rest", F.col("c") != F.col("bulk")).drop("bulk"), "large")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / WORDS))
+    sizes = rows.groupBy("key", "rest").agg(blocks.alias("n")).groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("n"))).alias("nr"), F.max(F.when(~F.col("rest"), F.col("n"))).alias("nm"))
+    own = rows.join(sizes, "key").withColumn("x", F.expr("pmod(xxhash64(node, 'block'), if(rest, nr, nm))"))
+    meets = F.expr("""
+      if(rest, concat(
+          transform(sequence(0L, nr - 1), y -> named_struct('i', least(x, y), 'j', greatest(x, y), 'side', y < x)),
+          transform(sequence(0L, nm - 1), z -> named_struct('i', -1 - z, 'j', x, 'side', true))),
+        transform(sequence(0L, nr - 1), y -> named_struct('i', -1 - x, 'j', y, 'side', false)))""")
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = lambda n: table.column(n).combine_chunks()
+        code = column("c").dictionary_encode().indices.to_numpy()
+        w, p, side = column("weight").to_numpy(), column("p").to_numpy(), column("side").to_numpy(zero_copy_only=False)
+        s, bands = (column(n).flatten().to_numpy().reshape(len(w), -1) for n in ("sample", "bands"))
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(w)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+        pairs = []
+        for at, i in enumerate(left):
+            to = right[at + 1 :] if same else right
+            to = to[(code[to] != code[i]) & (np.minimum(w[to], w[i]) >= np.maximum(w[to], w[i]) * (threshold - 1e-6)) & ((p[to] & p[i] & 1) == 0)]
+            alike = (s[to] == s[i]).sum(1)
+            to, alike = to[alike >= ALIKE], alike[alike >= ALIKE]
+            first = (bands[to] == bands[i]).argmax(1) == p[i] >> 1
+            pairs.append(np.stack([np.full(first.sum(), i), to[first], alike[first]]))
+        pairs = np.concatenate(pairs, axis=1)
+        parent, features, found = list(range(int(code.max()) + 1)), {}, []
+        text = column("text").cast(pa.binary())
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def weighed(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in features:
+                h, counts = shingles(text[i].as_py())
+                features[i] = h, idf.value.weigh(h, counts)
+            return features[i]
+
+        for i, j, _ in pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist():  # likely links first
+            x, y = root(code[i]), root(code[j])
+            if x != y and similarity(weighed(i), weighed(j)) >= threshold:
+                parent[x] = y
+                found.append((i, j))
+        node = column("node")
+        return pa.table({n: node.take(pa.array([f[k] for f in found], pa.int64())) for k, n in enumerate("ab")})
+
+    met = own.select("*", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "m.side", "p", "node", "c", "weight", "sample", "bands", "text")
+    return materialise(met.groupBy("key", "i", "j").applyInArrow(compare, "a string, b string"), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id for every row of ``docs``: the least doc_id that it is linked to, directly or through others.
 
     Two documents are linked if they share a bucket of samples and their weighted Jaccard similarity is at least ``threshold``, or
-    have the same words. Where even a finer bucket has more than ``SMALL`` documents, one that is linked only to few of the others can
-    miss its class: it is compared with its leaders and with up to ``DRAWS`` members. Null texts and texts without words are classes of their own. A class takes the least of its ids that
-    are not null; repeated rows each get their row; other columns are ignored and an empty table gives an empty result.
+    have the same words, however large the bucket. Null texts and texts without words are classes of their own. A class takes the
+    least of its ids that are not null; repeated rows each get their row; other columns are ignored and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -247,7 +302,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first_of = lambda *names: [F.first(n).alias(n) for n in names]  # noqa: E731  the same in all rows of a node
     nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first_of("weight", "bands", "sample")), "nodes")
     # the leader is the member of least id: copies tend to follow their original, and an original is nearest to all its copies
-    members = nodes.select("node", "doc_id", "weight", F.explode(_keys(F.col("bands"), F.col("weight"), threshold)).alias("key"))
+    members = nodes.select("node", "doc_id", "weight", F.posexplode(_keys(F.col("bands"), F.col("weight"), threshold)).alias("p", "key"))
     leaders = materialise(members.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).getField("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     led = materialise(members.drop("doc_id").join(leaders, "key"), "members")
     pairs = materialise(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -261,27 +316,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def with_class(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comp.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    inside = materialise(with_class(led, "node", "c").select("key", "n", "node", "weight", "c"), "inside")
-    open_ = inside.groupBy("key").agg(F.min("n").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    open_ = materialise(open_.select("key", "n"), "open")
-    mixed = inside.join(open_.where(F.col("n") > SMALL).select("key"), "key").select("node", "c").distinct()
-    finer = materialise(nodes.join(mixed, "node").select("node", "weight", "c", F.explode(F.array_distinct(_keys(_pairs_of("bands"), F.col("weight"), threshold))).alias("key")), "finer")
-    drawn = finer.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "c", "weight")).alias("l")).where("low <> high")
-    drawn = materialise(drawn.select("key", "n", F.col("l.node").alias("other"), F.col("l.c").alias("oc"), F.col("l.weight").alias("heft")), "drawn")
-    apart = (F.col("c") != F.col("oc")) & (F.least("weight", "heft") >= F.greatest("weight", "heft") * (threshold - 1e-6))
-    small = inside.where(F.col("n") <= SMALL).join(open_.select("key"), "key", "left_semi").select("key", "node", "c", "weight")
-    small = materialise(small.unionByName(finer.join(drawn.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", "node", "c", "weight")), "small")
+    inside = materialise(with_class(led, "node", "c").select("key", "p", "n", "leader", "node", "weight", "c"), "inside")
+    open_ = inside.groupBy("key").agg(F.min("n").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("leader"), F.col("c"))).alias("bulk")).where("low <> high")
+    open_ = materialise(open_.select("key", "n", "bulk"), "open")
+    small = inside.drop("leader").join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", "node", "c", "weight")
+    small = materialise(small, "small")
     other = small.select("key", F.col("node").alias("other"), F.col("c").alias("oc"), F.col("weight").alias("heft"))
+    apart = (F.col("c") != F.col("oc")) & (F.least("weight", "heft") >= F.greatest("weight", "heft") * (threshold - 1e-6))
     pairs = small.join(other, "key").where(apart & (F.col("node") > F.col("other"))).select("node", "other")
-    large = finer.join(drawn.where(F.col("n") > SMALL).drop("n"), "key").where(apart).select("node", "other").distinct()
-    large = large.withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))).where(F.col("_i") <= DRAWS).drop("_i")
-    pairs = pairs.unionByName(large).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     samples = materialise(nodes.join(needed.select("node"), "node", "left_semi").select("node", "sample"), "samples")
     pairs = pairs.join(samples.select(F.col("node").alias("a"), F.col("sample").alias("sa")), "a").join(samples.select(F.col("node").alias("b"), F.col("sample").alias("sb")), "b")
-    # of pairs at the threshold, 4 in 100,000 share fewer than 28 of their 48 samples; fewer than banding itself misses
     alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    pairs = materialise(pairs.where(alike >= 28).select("a", "b"), "more")
-    links = _verified(pairs, texts, idf, threshold).where("linked").select("a", "b")
+    pairs = pairs.where(alike >= ALIKE).select("a", "b")
+    links = _verified(materialise(pairs, "more"), texts, idf, threshold).where("linked").select("a", "b")
+    large = inside.drop("n", "leader").join(open_.where(F.col("n") > SMALL).select("key", "bulk"), "key")
+    large = large.join(nodes.select("node", "sample", "bands"), "node").join(texts, "node")
+    links = links.unionByName(_block_links(large, idf, threshold))
     comp = materialise(connected_components(edges.unionByName(links), "a", "b"), "components")
     named = with_class(nodes.select("node", "doc_id"), "node", "class")
     least = materialise(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")

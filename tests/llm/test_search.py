@@ -143,6 +143,21 @@ def test_residual_pairs_are_settled(spark):
     assert out == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
 
 
+def test_large_buckets_are_settled(spark):
+    """400 documents alike enough to share buckets far over 32, in which each is a near copy of one other only."""
+    rng = random.Random(12)
+    words, rows = [f"w{i}" for i in range(1500)], []
+    for g in range(200):
+        at = rng.sample(range(1500), 34)
+        for k in range(2):
+            own = list(words)
+            for i in at[:6] + at[6 + 14 * k : 20 + 14 * k]:
+                own[i] = f"x{g}" if i in at[:6] else f"y{g}-{k}"
+            rows.append((g + 200 * k, " ".join(own)))
+    out = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [g for g in range(200) if out[g] != out[g + 200]] == [] and len(set(out.values())) > 190
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     out = neardup.classes(docs)
