@@ -1,13 +1,18 @@
 """Mixing sources to target weights as a proportionate-fair schedule, in DataFrame operations alone.
 
-Weights become whole numbers of slots out of a period. Block k of a source with m slots in a period of L is released at slot
+Weights become whole numbers of slots out of a period, their common denominator. Block k of a source with m slots in a period of L is released at slot
 floor((k - 1) L / m) and due by ceil(k L / m); in each slot the released block with the earliest deadline runs. Such a
 schedule keeps every source within one block of its share at any slot, and it repeats after a period, so one period is
-simulated and every block of every source is placed by arithmetic.
+simulated and every block of every source is placed by arithmetic. Of a long period only the slots that hold documents are
+simulated, on the driver.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,33 @@ from .common import keyed
 
 #: Documents that a bucket of a source is meant to hold; a source is ranked bucket by bucket.
 BUCKET_ROWS = 50_000
+#: Longest period that is simulated by a fold in a single row.
+FOLDED = 2048
+
+
+def exact_quotas(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The least whole numbers in the proportions of positive weights, as these are written in decimals; they sum to the period."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: m // common for s, m in whole.items()}
+
+
+def first_slots(share: dict[str | None, int], period: int, slots: int) -> list[tuple[str | None, int, int]]:
+    """``(source, nth, slot)`` of the first slots of a period, as ``one_period`` places them."""
+    names = sorted(share, key=lambda s: (s is None, s))
+    waiting, ready, placed, out = [(0, i) for i in range(len(names))], [], [0] * len(names), []
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(placed[i] + 1) * period // share[names[i]]), i))
+        if ready:
+            i = heapq.heappop(ready)[1]
+            out.append((names[i], placed[i], t))
+            placed[i] += 1
+            heapq.heappush(waiting, (placed[i] * period // share[names[i]], i))
+    return out
 
 
 def quotas(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
@@ -59,15 +91,16 @@ def one_period(slots: DataFrame, period: int) -> DataFrame:
     return flat.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1)
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 16, period: int = 1024) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = 16, period: int | None = None) -> DataFrame:
     """``docs`` with ``mix_block``, ``mix_slot`` and ``mix_position``; every row is kept.
 
     Documents of a source come in the order of a hash of id and text, in blocks of ``block_docs``. ``weights`` names the
     target share of each source; sources it leaves out, and all without it, weigh 1. Once a source has run out its slots stay empty,
     and the others keep their own. ``mix_position`` orders rows by slot and place in the block, gaps included. A null source is a
     source of its own; null ids and texts are hashed as such; repeated rows tie and take neighbouring places; columns of
-    the three names or of the private ones (with a leading underscore, named in the code) give way and all others are carried along; an empty table stays empty. The period grows to twice the number
-    of sources where that is more.
+    the three names or of the private ones (with a leading underscore, named in the code) give way and all others are carried along; an empty table stays empty. The schedule follows the exact
+    weights, unless ``period`` asks for shares rounded to so many slots (at least twice the number of sources) or a weight is not
+    positive: such a source gets one slot of 1,024.
     """
     own = ("_skey", "_hash", "_bucket", "_before", "_nth", "_m", "_in", "_period_slot", "mix_block", "mix_slot", "mix_position")
     clash = [c for c in docs.columns if c in own]
@@ -77,12 +110,24 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     sizes = {r["source"]: r["n"] for r in sizes.collect()}
     if not sizes:
         return docs.drop(*clash).withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
-    while period < 2 * len(sizes):
-        period *= 2
+    weighs = {s: (weights or {}).get(s, 1.0) for s in sizes}
+    if period is None and min(weighs.values()) > 0:
+        share = exact_quotas(weighs)
+        period = sum(share.values())
+    else:
+        period = period or 1024
+        while period < 2 * len(sizes):
+            period *= 2
+        share = quotas(weighs, period)
     spark = docs.sparkSession
-    share = quotas({s: (weights or {}).get(s, 1.0) for s in sizes}, period)
+    folded = period <= FOLDED
+    if not folded:  # up to the slot by which each source's last block is due
+        used = min(period, max(-(-(-(-n // block_docs)) * period // share[s]) for s, n in sizes.items()))
+        plan = spark.createDataFrame(first_slots(share, period, used), "source string, nth long, slot long")
+        if used < period:  # no block lies beyond the first period
+            period, share = min(period, 1 << 62), {s: min(m, 1 << 62) for s, m in share.items()}
     quota = spark.createDataFrame([(s, int(m)) for s, m in share.items()], "source string, m long")
-    plan = materialise(one_period(quota, period), "period").join(quota.withColumnRenamed("source", "_q"), F.col("source").eqNullSafe(F.col("_q")))
+    plan = (materialise(one_period(quota, period), "period") if folded else plan).join(quota.withColumnRenamed("source", "_q"), F.col("source").eqNullSafe(F.col("_q")))
     slots = plan.select(skey.alias("_skey"), "m", "nth", F.col("slot").alias("_period_slot"))
 
     buckets = max(64, -(-sum(sizes.values()) // BUCKET_ROWS) * 4)
@@ -92,9 +137,10 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     within = F.row_number().over(Window.partitionBy("_skey", "_bucket").orderBy("_hash", "doc_id")) - 1
     ranked = rows.withColumn("_nth", within.cast("long")).join(before, ["_skey", "_bucket"])  # both sides already lie by these keys
     ranked = ranked.withColumn("_nth", F.col("_nth") + F.col("_before")).withColumn("mix_block", F.expr(f"_nth div {block_docs}"))
-    # the two tables of a period have at most ``period`` rows
-    ranked = ranked.join(F.broadcast(slots.select("_skey", F.col("m").alias("_m")).distinct()), "_skey").withColumn("_in", F.col("mix_block") % F.col("_m"))
-    placed = ranked.join(F.broadcast(slots.select("_skey", F.col("nth").alias("_in"), "_period_slot")), ["_skey", "_in"])
+    # the two tables of a folded period have at most ``FOLDED`` rows
+    small = F.broadcast if folded else lambda table: table
+    ranked = ranked.join(small(slots.select("_skey", F.col("m").alias("_m")).distinct()), "_skey").withColumn("_in", F.col("mix_block") % F.col("_m"))
+    placed = ranked.join(small(slots.select("_skey", F.col("nth").alias("_in"), "_period_slot")), ["_skey", "_in"])
     placed = placed.withColumn("mix_slot", F.expr(f"(mix_block div _m) * {period} + _period_slot"))
     placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_nth") % block_docs)
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns if c not in clash), "mix_block", "mix_slot", "mix_position")

@@ -193,6 +193,22 @@ def test_mixing_keeps_within_a_block(spark, weights):
     assert all(len(p) == 4 or b == sizes[s] - 1 for (s, b), p in blocks.items()) and all(max(p) - min(p) < 4 for p in blocks.values())
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys("abcdefg", 1.0), {"a": 0.6, "b": 0.3999, "c": 0.0001}])
+def test_mixing_follows_the_exact_weights(spark, weights):
+    """No drift over many periods, and no weight raised to a slot of a short one."""
+    names, total = sorted(weights), sum(weights.values())
+    docs = spark.createDataFrame([(i, f"t{i}", names[i % len(names)]) for i in range(6000) if names[i % len(names)] != "c" or i < 100 or len(names) > 3], "doc_id long, text string, source string")
+    slots = defaultdict(set)
+    for r in mixing.schedule(docs, weights, block_docs=1 if len(names) > 3 else 40).select("source", "mix_slot").collect():
+        slots[r.source].add(r.mix_slot)
+    assert max(Counter(s for own in slots.values() for s in own).values()) == 1
+    for source, own in slots.items():
+        done = 0
+        for t in range(max(own) + 1):
+            done += t in own
+            assert abs(done - weights[source] / total * (t + 1)) < 1
+
+
 def test_mixing_odd_rows_and_order(spark):
     docs = odd_docs(spark)
     out = mixing.schedule(docs)
