@@ -1,74 +1,228 @@
 """Substring dedup over words by level-wise doubling.
 
-The first level looks at strings of ``GRAM`` words, of which one in each window is sampled by its content. Only those that
-repeat across documents are extended to about twice that length, the window of 13 words; windows that repeat there are
-removed from all documents but the one of smallest id. Words beyond a window need no level of their own, since a longer repeated
-passage is a union of repeated windows: where a whole extent repeats, it is settled at once.
+The first level looks at all windows of ``FIRST`` words. Windows that repeat in another document are the candidates of their
+level; two overlapping or adjoining candidates make a candidate of twice the length (of ``width`` at last), and only these are looked at on the
+next level. It ends when no candidate survives, or with the windows of ``width`` words: a passage that repeats
+longer is a union of such windows. On the last level the least document of each window is found, and the window goes from all others.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Hashes, Plan, finish, mix, prepared, repeated_spans, word_symbols
-
-WORDS, GRAM = 13, 6
-_WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4")])
-
-
-def _extend(width: int):
-    def extend(key, raw: bytes, lo: np.ndarray, more: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        symbols = word_symbols(raw)
-        n = more + 1
-        start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rows = np.zeros(len(start), _WINDOW)
-        rows["h"] = Hashes(symbols).spans(start, start + width)
-        rows["g"] = Hashes(mix(symbols)).spans(start, start + width) & np.uint64(0xFFFFFFFF)
-        rows["doc"], rows["tag"], rows["start"] = key[0], key[1], start
-        b = np.repeat(bucket, n)
-        o = np.argsort(b, kind="stable")
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(b[o])) + 1, [len(o)]])
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            if y > x:
-                yield int(b[o[x]]), rows[o[x:y]].tobytes()
-
-    return extend
-
-
-def _settle(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.frombuffer(b"".join(payloads), _WINDOW)
-    o = np.lexsort((rows["doc"], rows["g"], rows["h"]))
-    h, g, doc = rows["h"][o], rows["g"][o], rows["doc"][o]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(o)]
-    gone = o[doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]]
-    return rows["doc"][gone], rows["tag"][gone].astype(np.int64), rows["start"][gone].astype(np.int64)
-
-
-def _row(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
-    words = raw.split()
-    if not spans:
-        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    kept, at = [], 0
-    for s, e in spans:
-        kept += words[at:s]
-        at = e
-    kept += words[at:]
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
-
-
-def dedup_words(docs: DataFrame, width: int = WORDS, gram: int = GRAM) -> DataFrame:
+from ..storage import materialise
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, each_block, mix, reply, rows, send, slices
+from .common import keyed
+
+WORDS, FIRST = 13, 4
+_ONE, _TWO = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
+
+
+def lengths(width: int, first: int) -> list[int]:
+    out = [min(first, width)]
+    while out[-1] < width:
+        out.append(min(2 * out[-1], width))
+    return out
+
+
+def doubled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes (rows of two) of windows from those of their two halves."""
+    return np.stack([mix(a[0] * _ONE + mix(b[0] ^ _TWO)), mix(a[1] * _TWO + mix(b[1] ^ _ONE))])
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASK = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits, as two rows, for the words of ``data``, which ends with eight bytes more.
+
+    Eight bytes at a time enter a chain of bijective mixings; words of equal length up to eight bytes never share a hash.
+    """
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = np.stack([mix(size.astype(U64) * _ONE), mix(size.astype(U64) * _TWO)])
+    left = np.arange(len(start))
+    for at in range(0, LONG, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        rest = size[left] - at
+        chunk = eight[start[left] + at]
+        chunk = np.where(rest < 8, chunk & _MASK[np.minimum(rest, 7)], chunk)
+        h[:, left] = doubled(h[:, left], np.stack([chunk, chunk]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[:, i] = np.frombuffer(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return h
+
+
+class Windows:
+    """The words of a block by document, and hashes of all windows of a length that grows."""
+
+    def __init__(self, block: Block):
+        data = np.frombuffer(b"\n".join([*block.texts, b" " * 8]), np.uint8)
+        space = _SPACE[data]
+        before = np.concatenate([[True], space[:-1]])
+        start, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        ends = np.cumsum([len(t) + 1 for t in block.texts])
+        self.doc = np.searchsorted(ends, start, "right")
+        self.length, self.hash = 1, word_hashes(data, start, end - start)
+        self.usable = ~block.null[self.doc]  # windows of documents without an id are none
+
+    def grow(self, length: int) -> None:
+        while self.length < length:
+            shift = min(self.length, length - self.length)
+            self.hash = doubled(self.hash[:, :-shift], self.hash[:, shift:]) if self.hash.shape[1] > shift else self.hash[:, :0]
+            self.length += shift
+
+    def all(self) -> np.ndarray:
+        """Starts of all windows that lie within a document."""
+        n = max(len(self.doc) - self.length + 1, 0)
+        return np.flatnonzero((self.doc[:n] == self.doc[len(self.doc) - n :]) & self.usable[:n])
+
+
+def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the least and greatest document of each, and the place of every key among them."""
+    o = np.argsort(keys)
+    new = np.concatenate([[True], keys[o][1:] != keys[o][:-1]])[: len(o)]
+    start, place = np.flatnonzero(new), np.empty(len(o), np.int64)
+    place[o] = np.cumsum(new) - 1
+    if not len(o):
+        return keys, doc, doc, place
+    return keys[o][start], np.minimum.reduceat(doc[o], start), np.maximum.reduceat(doc[o], start), place
+
+
+def windows128(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows with their least documents, in order, and the place of every window among them."""
+    o = np.lexsort((h[1], h[0]))
+    a, b = h[0][o], h[1][o]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(o)]
+    start, place = np.flatnonzero(new), np.empty(len(o), np.int64)
+    place[o] = np.cumsum(new) - 1
+    out = np.zeros(len(start), _WINDOW)
+    if len(o):
+        out["h"], out["g"], out["doc"] = a[start], b[start], np.minimum.reduceat(doc[o], start)
+    return out, place
+
+
+def _state(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True) if k == 1)])
+
+
+def _sender(steps: list[int], level: int, bits: int):
+    """What a block sends on a level: its candidates there, from the candidates before and the replies on them."""
+
+    def run(number: int, block: Block, known: pa.Table | None) -> pa.Table:
+        w = Windows(block)
+        if level:
+            w.grow(steps[level - 1])
+            before = _state(known) if level > 1 else w.all()
+            _, low, high, place = distinct(w.hash[0][before], block.ids[w.doc[before]])
+            got = reply(known) if len(low) else np.zeros(0, np.uint8)
+            alive = np.zeros(w.hash.shape[1] + 1, bool)
+            alive[before] = ((got > 0) | (low < high))[place]
+            w.grow(steps[level])
+            starts, shift = w.all(), steps[level] - steps[level - 1]
+            starts = starts[alive[starts] & alive[starts + shift]]
+        else:
+            w.grow(steps[0])
+            starts = w.all()
+        doc, out = block.ids[w.doc[starts]], []
+        if level + 1 < len(steps):
+            keys, low, high, _ = distinct(w.hash[0][starts], doc)
+            out += send(number, keys, (low < high).astype(np.uint16), bits)
+        else:
+            windows, _ = windows128(w.hash[:, starts], doc)
+            out += [(0, number, bucket, windows[at].tobytes()) for bucket, at in slices(windows["h"], bits)]
+        if level or len(steps) == 1:
+            out.append((1, number, -1, np.diff(starts, prepend=0).astype("<u4").tobytes()))
+        return pa.Table.from_batches([rows(out)])
+
+    return run
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """For each window that a block sent, whether another block holds it in a smaller document."""
+    parts = [np.frombuffer(p, _WINDOW) for p in table.column("payload").to_pylist()]
+    w = np.concatenate(parts)
+    o = np.lexsort((w["doc"], w["g"], w["h"]))
+    h, g, doc = w["h"][o], w["g"][o], w["doc"][o]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+    gone = np.empty(len(o), np.uint8)
+    gone[o] = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    ends = np.cumsum([len(p) for p in parts])
+    return pa.Table.from_batches([rows([(2, block, bucket, gone[e - len(p) : e].tobytes()) for block, bucket, e, p in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), ends.tolist(), parts, strict=True)])])
+
+
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _finisher(width: int, first: int):
+    def run(number: int, block: Block, known: pa.Table) -> pa.Table:
+        words = [t.split() for t in block.texts]
+        gone = np.zeros(sum(map(len, words)) + 1, np.int64)
+        if len(starts := _state(known)):
+            w = Windows(block)
+            for length in lengths(width, first):
+                w.grow(length)
+            doc = block.ids[w.doc[starts]]
+            windows, place = windows128(w.hash[:, starts], doc)
+            out = starts[(reply(known)[place] > 0) | (doc > windows["doc"][place])]
+            np.add.at(gone, out, 1)
+            np.add.at(gone, out + width, -1)
+        gone = np.cumsum(gone[:-1]) > 0
+        cols, at = ([], [], []), 0
+        for own in words:
+            out = gone[at : at + len(own)]
+            n = int(out.sum())
+            kept = [x for x, g in zip(own, out.tolist(), strict=True) if not g] if n else own
+            for column, value in zip(cols, (len(own), n, hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
+                column.append(value)
+            at += len(own)
+        return pa.Table.from_arrays([pa.array(block.doc_ids(), pa.int64()), *map(pa.array, cols)], schema=_RESULT) if cols[0] else _RESULT.empty_table()
+
+    return run
+
+
+def dedup_words(docs: DataFrame, width: int = WORDS, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs``.
 
     A word goes if a window of ``width`` consecutive words over it also starts in a document with a smaller doc_id. Windows are
     judged on the input. A null text has no words; a document of null id neither loses words nor takes them from others; repeated
     rows of one id leave each other alone, whatever their texts; texts shorter than a window stay whole; other columns are
-    ignored and an empty table gives an empty result. Equal windows are told by 96 bits of hash.
+    ignored and an empty table gives an empty result. A text of any length lies in one block, which one task holds in memory.
+    Equal windows of the last level are told by 128 bits of hash: two chains of bijective mixings over the
+    bytes of a word and over the halves of a window.
     """
-    docs = prepared(docs)
-    plan = Plan(docs, word_symbols, width, gram)
-    by_bucket, spans = repeated_spans(docs, plan, _extend(width), _settle)
-    return finish(by_bucket, spans, plan, _row, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = keyed(docs, "doc_id", "text", doc_id="long")
+    sizes, steps = Sizes(docs), lengths(width, first)
+    blocks, known = blocked(docs, sizes), None
+    for level in range(len(steps)):
+        step = _sender(steps, level, sizes.bits)
+        if known is None:
+
+            def alone(batches, step=step):
+                for batch in batches:
+                    for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                        yield from step(number, Block(packed), None).to_batches()
+
+            asked = blocks.mapInArrow(alone, SCHEMA)
+        else:
+            asked = each_block(blocks, known, sizes, step, SCHEMA)
+        asked = materialise(asked, f"level{level}")
+        if level + 1 < len(steps):
+            known = answered(asked, sizes, lambda total, count: ((total > 0) | (count > 1)).astype(np.uint8))
+        else:
+            known = by_bucket(asked, sizes, _least)
+        known = materialise(asked.where("kind = 1").unionByName(known), f"known{level}")
+        if asked.where("kind = 0").isEmpty():  # no candidate survives
+            known = known.where("kind < 0")
+            break
+    return each_block(blocks, known, sizes, _finisher(width, first), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tessaline.llm import anchors, substring, suffix
+from tessaline.llm import anchors, blocks, substring, suffix
 
 from .cases import odd_docs, odd_rows
 
@@ -115,3 +115,34 @@ def test_documents_longer_than_a_chunk(spark):
     rows = [(5, " ".join(words)), (7, "x " + " ".join(words[200_000:540_000]) + " y")]
     got = {r.doc_id: r.n_removed for r in substring.dedup_words(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {5: 0, 7: 340_000}
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    """Thue-Morse words and their complements collide under any polynomial modulo a power of two."""
+    head = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*head, thue_morse(1024)])), (2, " ".join([*head, thue_morse(1024, 1)])), (3, " ".join([*head, thue_morse(1024)]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.n_removed for r in substring.dedup_words(df).collect()} == {1: 0, 2: 0, 3: 13}
+    assert sorted(map(str, map(tuple, suffix.dedup_bytes(df).collect()))) == sorted(map(str, brute_bytes(rows)))
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab\xc3") for _ in range(rng.randrange(1, 90))) for _ in range(3000)] + [b"a" * n for n in range(1, 100)] + [b"a" * 1_000_000]
+    block = blocks.Block(blocks.Block.pack([1, None, 2], [b" \t".join(words), b"", b"\x0b".join(reversed(words))]))
+    w = substring.Windows(block)
+    own = [tuple(h) for h in w.hash.T.tolist()]
+    assert len(set(zip(own[: len(words)], words, strict=True))) == len(set(words)) == len(set(own)) and own == own[::-1]
+    assert w.doc.tolist() == [0] * len(words) + [2] * len(words)
+
+
+@pytest.mark.parametrize("width, first", [(13, 1), (13, 13), (8, 4), (5, 2), (1, 1), (3, 4)])
+def test_levels_of_other_lengths(spark, width, first):
+    rows = corpora(width)
+    got = substring.dedup_words(spark.createDataFrame(rows, SCHEMA).repartition(4), width, first).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_words(rows, width)))
+    assert substring.lengths(13, 4) == [4, 8, 13]
