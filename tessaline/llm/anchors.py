@@ -1,49 +1,24 @@
-"""Windows that repeat across documents, found from sampled anchors.
+"""Strings sampled from windows by their content.
 
 A window is ``width`` consecutive tokens of one document. Of the ``gram``-token strings within it, the one with the least hash
 is its anchor (the leftmost of equal ones), which depends on the window's content alone, so equal windows have equal anchors
-at equal offsets. One entry per anchor, not per window, is shuffled: the hash of the anchor's gram, the hash of its
-extent (the span of all windows that share the anchor), and its place. Then
-
-* an anchor whose extent also lies in a document of smaller id has all its windows removed, and
-* if documents hold the same gram in different extents, the first document of each extent goes on to the second level,
-  which compares the windows themselves.
-
-Map tasks settle the first case among their own documents and send on only the first document of each extent, so what a hot
-passage sends does not grow with the number of its copies but with the number of tasks.
-
-Entries travel as byte planes of sorted arrays, one row for each flush and bucket.
+at equal offsets, and windows that share an anchor need one entry only.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from ..storage import materialise
-from .common import bounded_batches, keyed
+from .blocks import U64, mix
 
-U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 5)
-_MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 #: Random 64-bit values of the bytes.
 BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 #: Low bits of the ordering value that hold a position; a chunk has fewer tokens.
 PLACE_BITS = 24
-CHUNK, FLUSH = 1 << 18, 4 << 20
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U64(30))) * _MIX1
-    h = (h ^ (h >> U64(27))) * _MIX2
-    return h ^ (h >> U64(31))
+CHUNK = 1 << 18
 
 
 def _power(n: int) -> list[np.ndarray]:
@@ -106,12 +81,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(pieces: list[np.ndarray], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, extent hash, piece, first window, further windows) of every anchor of the pieces."""
+    """(gram hash, piece, first window, further windows) of every anchor of the pieces."""
     lens = np.array([len(p) for p in pieces])
     symbols = np.concatenate(pieces)
     assert len(symbols) < 1 << PLACE_BITS
     if len(symbols) < width:
-        return tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64))
     piece_of, first = np.repeat(np.arange(len(pieces)), lens), np.cumsum(lens) - lens
     h = Hashes(symbols)
     grams = h.grams(gram)
@@ -123,285 +98,4 @@ def anchors(pieces: list[np.ndarray], width: int, gram: int) -> tuple[np.ndarray
     hi = np.concatenate([change, [len(chosen)]]) - 1
     keep = chosen[lo] >= 0
     lo, hi = lo[keep], hi[keep]
-    return grams[chosen[lo]], h.spans(lo, hi + width), piece_of[lo], lo - first[piece_of[lo]], hi - lo
-
-
-# --- byte planes -----------------------------------------------------------------------------------------------------
-
-
-def planes(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-    """A row of bytes for each entry, so many low bytes of each column."""
-    return np.concatenate([np.ascontiguousarray(c).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :s] for c, s in zip(columns, sizes, strict=True)], axis=1)
-
-
-def cut(columns: list[np.ndarray], sizes: list[int], group: np.ndarray, delta: int) -> tuple[np.ndarray, list[bytes]]:
-    """Entries sorted by group become one payload a group; column ``delta`` is stored as differences within it."""
-    if not len(group):
-        return group, []
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
-    d = columns[delta].astype(np.int64)
-    step = np.diff(d, prepend=0)
-    step[starts] = d[starts]
-    columns = [*columns[:delta], step.view(U64), *columns[delta + 1 :]]
-    matrix = planes(columns, sizes)
-    return group[starts], [matrix[a:b].T.tobytes() for a, b in zip(starts, [*starts[1:], len(group)], strict=True)]
-
-
-def join(payloads: list[bytes], sizes: list[int], delta: int) -> list[np.ndarray]:
-    """The columns of all payloads, as 64-bit integers."""
-    out: list[list[np.ndarray]] = [[] for _ in sizes]
-    for payload in payloads:
-        m = np.frombuffer(payload, np.uint8).reshape(sum(sizes), -1)
-        at = 0
-        for i, s in enumerate(sizes):
-            full = np.zeros((m.shape[1], 8), np.uint8)
-            full[:, :s] = m[at : at + s].T
-            col = full.view("<u8").ravel()
-            out[i].append(np.cumsum(col.view(np.int64)).view(U64) if i == delta else col)
-            at += s
-    return [np.concatenate(c) if c else np.zeros(0, U64) for c in out]
-
-
-#: Entry: the rest of the gram hash, extent hash, document, tag of repeated ids, first window, further windows.
-ENTRY, ENTRY_DOC = [5, 6, 8, 4, 4, 2], 2
-#: Span: document, tag, start, length.
-SPAN = [8, 4, 4, 2]
-#: First of an extent: document, tag, first window, further windows, bucket.
-REP = [8, 4, 4, 2, 4]
-
-
-def doc_bucket_column(doc_id: Column, n: int) -> Column:
-    x = F.coalesce(doc_id, F.lit(0)).cast("long")
-    return F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 17)).bitwiseXOR(F.shiftrightunsigned(x, 31)), F.lit(n)).cast("int")
-
-
-def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    x = doc.astype(np.int64)
-    u = x.view(U64)
-    return (u ^ (u >> U64(17)) ^ (u >> U64(31))).view(np.int64) % n
-
-
-def tag_of(raw: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(raw)
-
-
-def _by_doc(doc, tag, start, more, n: int, kind: int, extra: list[np.ndarray], sizes: list[int]) -> Iterator[tuple[int, int, bytes]]:
-    b = doc_bucket(doc, n)
-    o = np.lexsort((start, doc, b))
-    groups, payloads = cut([c[o] for c in (doc, tag, start, more, *extra)], sizes, b[o], 0)
-    return ((kind, int(g), p) for g, p in zip(groups, payloads, strict=True))
-
-
-ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ROWS)], schema=ROWS)
-
-
-class Plan:
-    """Sizes that follow the input: buckets of hashes and of documents, and tasks."""
-
-    def __init__(self, docs: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int):
-        self.symbols, self.width, self.gram = symbols, width, gram
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.bits = min(22, max(9, (size >> 19).bit_length()))  # about 0.5 to 1 MB of text for each bucket of hashes
-        self.tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 25)
-        self.docs = 1021 if size < 1 << 30 else (size >> 20) | 1
-        # tags tell rows of one id apart; without repeated ids they are all 0 and compress away
-        self.tagged = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-
-
-def _map(plan: Plan):
-    width, gram, bits, n_docs, tagged, symbols = plan.width, plan.gram, plan.bits, plan.docs, plan.tagged, plan.symbols
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        pieces: list[np.ndarray] = []
-        owners: list[tuple[int, int, int]] = []
-        tokens = since = 0
-
-        def chunk() -> None:
-            nonlocal pieces, owners, tokens
-            if pieces:
-                g, u, at, lo, more = anchors(pieces, width, gram)
-                who = np.array(owners, np.int64).reshape(-1, 3)[at]
-                held.append((g, u, who[:, 0], who[:, 1], who[:, 2] + lo, more))
-            pieces, owners, tokens = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, since
-            chunk()
-            out: list[tuple[int, int, bytes]] = []
-            if held:
-                g, u, doc, tag, lo, more = (np.concatenate([h[i] for h in held]) for i in range(6))
-                pair = mix(g ^ (u * _MIX1))
-                o = np.lexsort((doc, pair))
-                pair, doc_o = pair[o], doc[o]
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1]) if len(o) else np.zeros(0, np.int64)
-                least = np.repeat(doc_o[starts], np.diff([*starts, len(o)]))
-                gone, kept = o[doc_o > least], o[doc_o == least]
-                if len(gone):
-                    for kind, b, payload in _by_doc(doc[gone], tag[gone], lo[gone], more[gone] + width, n_docs, 1, [], SPAN):
-                        out.append((kind, b, payload))
-                b = (g[kept] >> U64(64 - bits)).astype(np.int64)
-                o = kept[np.lexsort((lo[kept], doc[kept], b))]
-                b = (g[o] >> U64(64 - bits)).astype(np.int64)
-                groups, payloads = cut([(g[o] << U64(bits)) >> U64(24), u[o] >> U64(16), doc[o], tag[o], lo[o], more[o]], ENTRY, b, ENTRY_DOC)
-                out += [(0, int(k), p) for k, p in zip(groups, payloads, strict=True)]
-            held, since = [], 0
-            return _rows(out)
-
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if doc_id is None or not raw:
-                    continue
-                s = symbols(raw)
-                tag = tag_of(raw) if tagged else 0
-                for at in range(0, max(len(s) - width + 1, 0), CHUNK):
-                    part = s[at : at + CHUNK + width - 1]
-                    if tokens + len(part) > 2 * CHUNK:
-                        chunk()
-                    pieces.append(part)
-                    owners.append((doc_id, tag, at))
-                    tokens += len(part)
-                    since += len(part)
-                if since > FLUSH:
-                    yield flush()
-        yield flush()
-
-    return run
-
-
-def _reduce(plan: Plan):
-    width, n_docs = plan.width, plan.docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            through = []
-            for kind, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True):
-                if kind:
-                    through.append((kind, bucket, payload))
-                else:
-                    entries[bucket].append(payload)
-            if through:
-                yield _rows(through)
-        spans, reps = [], []
-        for bucket in list(entries):
-            g, u, doc, tag, lo, more = join(entries.pop(bucket), ENTRY, ENTRY_DOC)
-            doc = doc.view(np.int64)
-            o = np.lexsort((doc, u, g))
-            g, u, doc, tag, lo, more = (c[o] for c in (g, u, doc, tag, lo, more))
-            new_g = np.concatenate([[True], g[1:] != g[:-1]])
-            new_u = new_g | np.concatenate([[True], u[1:] != u[:-1]])
-            in_g, in_u = np.cumsum(new_g) - 1, np.cumsum(new_u) - 1
-            at_g = np.flatnonzero(new_g)
-            least = doc[np.flatnonzero(new_u)][in_u]
-            gone = doc > least
-            low, high = np.minimum.reduceat(doc, at_g), np.maximum.reduceat(doc, at_g)
-            open_g = (low < high) & (np.add.reduceat(new_u, at_g) > 1)
-            first = ~gone & open_g[in_g]
-            spans.append((doc[gone], tag[gone], lo[gone], more[gone] + U64(width)))
-            reps.append((doc[first], tag[first], lo[first], more[first], np.full(first.sum(), bucket, U64)))
-        out: list[tuple[int, int, bytes]] = []
-        if spans:
-            s = [np.concatenate(c) for c in zip(*spans, strict=True)]
-            r = [np.concatenate(c) for c in zip(*reps, strict=True)]
-            out += _by_doc(*s, n_docs, 1, [], SPAN)
-            out += _by_doc(*r[:4], n_docs, 2, [r[4]], REP)
-        yield _rows(out)
-
-    return run
-
-
-SCHEMA = "kind int, bucket int, payload binary"
-
-
-def repeated_spans(docs: DataFrame, plan: Plan, extend: Callable, settle: Callable) -> tuple[DataFrame, DataFrame]:
-    """Documents by bucket, and payloads of spans to remove by the same bucket.
-
-    ``extend(key, raw, lo, more, bucket)`` gives pairs of bucket and bytes, with which the windows of first documents are
-    compared, and ``settle(payloads)`` the (doc, tag, start) of the windows among them that also lie in a document of smaller id.
-    """
-    bounded_batches(docs.sparkSession)
-    n_docs, width, tagged = plan.docs, plan.width, plan.tagged
-    level1 = docs.select("doc_id", "text").mapInArrow(_map(plan), SCHEMA).repartition(plan.tasks, "bucket").mapInArrow(_reduce(plan), SCHEMA)
-    level1 = materialise(level1, "level1")
-    by_bucket = docs.select(doc_bucket_column(F.col("doc_id"), n_docs).alias("bucket"), "doc_id", "text")
-
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        if len(right) and len(left):
-            doc, tag, lo, more, bucket = join(right.column("payload").to_pylist(), REP, 0)
-            o = np.lexsort((tag, doc.view(np.int64)))
-            doc, tag, lo, more, bucket = doc.view(np.int64)[o], *(c[o] for c in (tag, lo, more, bucket))
-            key = list(zip(doc.tolist(), tag.tolist(), strict=True))
-            at = {k: i for i, k in reversed(list(enumerate(key)))}
-            ends = {k: i + 1 for i, k in enumerate(key)}
-            made: dict[int, list[bytes]] = defaultdict(list)
-            seen = set()
-            for doc_id, raw in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                k = (doc_id, tag_of(raw) if tagged and raw else 0)
-                if k not in at or k in seen or not raw:
-                    continue
-                seen.add(k)
-                part = slice(at[k], ends[k])
-                for b, payload in extend(k, raw, lo[part].astype(np.int64), more[part].astype(np.int64), bucket[part].astype(np.int64) >> 2):
-                    made[b].append(payload)
-            out = [(0, b, b"".join(p)) for b, p in made.items()]
-        return pa.Table.from_batches([_rows(out)])
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                held[bucket].append(payload)
-        found = [settle(held.pop(b)) for b in list(held)]
-        if found:
-            doc, tag, start = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield _rows(list(_by_doc(doc, tag, start, np.full(len(doc), width, U64), n_docs, 1, [], SPAN)))
-
-    windows = by_bucket.groupBy("bucket").cogroup(level1.where("kind = 2").groupBy("bucket")).applyInArrow(second, SCHEMA)
-    spans = level1.where("kind = 1").unionByName(windows.repartition(plan.tasks, "bucket").mapInArrow(third, SCHEMA))
-    return by_bucket, spans
-
-
-def covered(payloads: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Spans to remove, merged and in order, of each (document, tag)."""
-    doc, tag, start, size = join(payloads, SPAN, 0)
-    doc, start, size = doc.view(np.int64), start.astype(np.int64), size.astype(np.int64)
-    o = np.lexsort((start, tag, doc))
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, t, s, e in zip(doc[o].tolist(), tag[o].tolist(), start[o].tolist(), (start + size)[o].tolist(), strict=True):
-        own = out.setdefault((d, t), [])
-        if own and s <= own[-1][1]:
-            if e > own[-1][1]:
-                own[-1] = (own[-1][0], e)
-        else:
-            own.append((s, e))
-    return out
-
-
-def finish(by_bucket: DataFrame, spans: DataFrame, plan: Plan, row: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
-    """A row for each document from its bytes and its removed spans."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = by_bucket.sparkSession.createDataFrame([], schema).schema
-    arrow, tagged = to_arrow_schema(target), plan.tagged
-
-    def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = covered(right.column("payload").to_pylist()) if len(right) else {}
-        rows = []
-        for doc_id, raw in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            raw = raw or b""
-            rows.append((doc_id, *row(raw, gone.get((doc_id, tag_of(raw) if tagged and raw else 0), []))))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-    return by_bucket.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(last, target)
-
-
-def prepared(docs: DataFrame) -> DataFrame:
-    return keyed(docs, "doc_id", "text", doc_id="long")
+    return grams[chosen[lo]], piece_of[lo], lo - first[piece_of[lo]], hi - lo

@@ -93,6 +93,27 @@ def blocked(docs: DataFrame, sizes: Sizes) -> DataFrame:
     return materialise(keyed(docs, "doc_id", "text", doc_id="long").mapInArrow(run, "block long, docs binary"), "blocks")
 
 
+def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the least and greatest document of each, and the place of every key among them."""
+    o = np.argsort(keys)
+    new = np.concatenate([[True], keys[o][1:] != keys[o][:-1]])[: len(o)]
+    start, place = np.flatnonzero(new), np.empty(len(o), np.int64)
+    place[o] = np.cumsum(new) - 1
+    if not len(o):
+        return keys, doc, doc, place
+    return keys[o][start], np.minimum.reduceat(doc[o], start), np.maximum.reduceat(doc[o], start), place
+
+
+def state(starts: np.ndarray) -> bytes:
+    """Ascending places of a block, to keep for a later step."""
+    return np.diff(starts, prepend=0).astype("<u4").tobytes()
+
+
+def starts_of(table: pa.Table, kind: int = 1) -> np.ndarray:
+    parts = [p for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True) if k == kind]
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for p in parts)])
+
+
 def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The buckets of sorted keys, by their upper bits."""
     bucket = (keys >> U64(64 - bits)).astype(np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..storage import materialise
-from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, each_block, mix, reply, rows, send, slices
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, mix, reply, rows, send, slices, starts_of, state
 from .common import keyed
 
 WORDS, FIRST = 13, 4
@@ -88,17 +88,6 @@ class Windows:
         return np.flatnonzero((self.doc[:n] == self.doc[len(self.doc) - n :]) & self.usable[:n])
 
 
-def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the least and greatest document of each, and the place of every key among them."""
-    o = np.argsort(keys)
-    new = np.concatenate([[True], keys[o][1:] != keys[o][:-1]])[: len(o)]
-    start, place = np.flatnonzero(new), np.empty(len(o), np.int64)
-    place[o] = np.cumsum(new) - 1
-    if not len(o):
-        return keys, doc, doc, place
-    return keys[o][start], np.minimum.reduceat(doc[o], start), np.maximum.reduceat(doc[o], start), place
-
-
 def windows128(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows with their least documents, in order, and the place of every window among them."""
     o = np.lexsort((h[1], h[0]))
@@ -112,10 +101,6 @@ def windows128(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, place
 
 
-def _state(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64) for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True) if k == 1)])
-
-
 def _sender(steps: list[int], level: int, bits: int):
     """What a block sends on a level: its candidates there, from the candidates before and the replies on them."""
 
@@ -123,7 +108,7 @@ def _sender(steps: list[int], level: int, bits: int):
         w = Windows(block)
         if level:
             w.grow(steps[level - 1])
-            before = _state(known) if level > 1 else w.all()
+            before = starts_of(known) if level > 1 else w.all()
             _, low, high, place = distinct(w.hash[0][before], block.ids[w.doc[before]])
             got = reply(known) if len(low) else np.zeros(0, np.uint8)
             alive = np.zeros(w.hash.shape[1] + 1, bool)
@@ -142,7 +127,7 @@ def _sender(steps: list[int], level: int, bits: int):
             windows, _ = windows128(w.hash[:, starts], doc)
             out += [(0, number, bucket, windows[at].tobytes()) for bucket, at in slices(windows["h"], bits)]
         if level or len(steps) == 1:
-            out.append((1, number, -1, np.diff(starts, prepend=0).astype("<u4").tobytes()))
+            out.append((1, number, -1, state(starts)))
         return pa.Table.from_batches([rows(out)])
 
     return run
@@ -168,7 +153,7 @@ def _finisher(width: int, first: int):
     def run(number: int, block: Block, known: pa.Table) -> pa.Table:
         words = [t.split() for t in block.texts]
         gone = np.zeros(sum(map(len, words)) + 1, np.int64)
-        if len(starts := _state(known)):
+        if len(starts := starts_of(known)):
             w = Windows(block)
             for length in lengths(width, first):
                 w.grow(length)

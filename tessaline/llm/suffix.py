@@ -2,9 +2,11 @@
 
 Suffixes are ordered only through the threshold of 50 bytes, by passes from the most significant digit of eight bytes down;
 after the last pass, groups of equal suffixes are exactly the repeated windows, and a pass leaves out suffixes that already
-differ from all others. The first pass, across machines, is on a digit that equal windows share by construction: the hash of a
-string sampled from the window by content. Suffixes whose whole neighbourhood repeats are settled there; the others are
-sorted by their bytes within its buckets.
+differ from all others. Which suffixes are sorted together is settled first, across machines, by a digit that equal windows share by
+construction: a string of 24 bytes sampled from the window by its content. Windows whose string no other document holds are
+left out; the others are sorted by their bytes, first within each block of documents, and the first of each block then within
+buckets of their strings. Where a string has very many entries, its windows are dealt to buckets one by one.
+Only bytes decide what is removed; hashes only leave out what cannot repeat.
 """
 
 from __future__ import annotations
@@ -14,12 +16,20 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Plan, byte_symbols, finish, prepared, repeated_spans
+from ..storage import materialise
+from .anchors import BYTE, CHUNK, Hashes, anchors
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, reply, rows, send, starts_of, state
+from .common import keyed
 
 BYTES, GRAM = 50, 24
-_HEAD = "<qIIH"
+#: Strings with more entries than this have their windows dealt one by one.
+HOT = 1024
+#: What a step sends besides requests (0), state (1) and replies (2): entries to sort, hashes of windows of hot strings and their starts.
+ENTRY, WINDOW, LATER = 3, 4, 5
+_HEAD = "<qqIH"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
 
@@ -28,14 +38,12 @@ def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
 
     Each pass sorts the remaining suffixes by group and next digit of eight bytes (fewer in the last), and drops those alone.
     """
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    digits = np.zeros(len(text) + 1, np.uint64)
-    for j in range(8):
-        digits |= padded[j : j + len(digits)] << np.uint64(56 - 8 * j)
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(text) + 9,), ">u8", padded, strides=(1,))
     left, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     for at in range(0, depth, 8):
-        digit = digits[starts[left] + at] >> np.uint64(8 * max(0, at + 8 - depth))
-        o = np.lexsort((digit, group))
+        digit = eight[starts[left] + at].astype(np.uint64) >> np.uint64(8 * max(0, at + 8 - depth))
+        o = np.lexsort((digit, group)) if at else np.argsort(digit)
         left, group, digit = left[o], group[o], digit[o]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])[: len(o)]
         group = np.cumsum(new) - 1
@@ -44,42 +52,154 @@ def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     return left, group
 
 
-def _extend(width: int):
-    def extend(key, raw: bytes, lo: np.ndarray, more: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        for s, m, b in zip(lo.tolist(), more.tolist(), bucket.tolist(), strict=True):
-            yield b, struct.pack(_HEAD, key[0], key[1], s, m) + raw[s : s + m + width]
-
-    return extend
-
-
-def _settle(width: int):
-    def settle(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        buffer, at, heads, places = b"".join(payloads), 0, [], []
+def later(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """Whether a window of a smaller document equals the one at each start."""
+    left, group = radix_groups(text, starts, depth)
+    gone = np.zeros(len(starts), bool)
+    if len(left):
+        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, doc[left])
+        gone[left] = doc[left] > least[group]
+    return gone
+
+
+class Bytes:
+    """The bytes of a block and the anchors of its windows."""
+
+    def __init__(self, block: Block, width: int, gram: int):
+        self.data = np.frombuffer(b"".join(block.texts), np.uint8)
+        n = np.array([len(t) for t in block.texts], np.int64)
+        first, found, pieces, tokens = np.cumsum(n) - n, [], [], 0
+
+        def settle() -> None:
+            if pieces:
+                g, at, lo, more = anchors([BYTE[self.data[a:b]] for _, a, b in pieces], width, gram)
+                found.append((g, np.array([p[0] for p in pieces])[at], np.array([p[1] for p in pieces])[at] + lo, more))
+                pieces.clear()
+
+        for i in np.flatnonzero((n >= width) & ~block.null).tolist():
+            for at in range(0, int(n[i]) - width + 1, CHUNK):
+                pieces.append((i, int(first[i]) + at, int(first[i]) + min(int(n[i]), at + CHUNK + width - 1)))
+                tokens += pieces[-1][2] - pieces[-1][1]
+                if tokens > CHUNK:
+                    settle()
+                    tokens = 0
+        settle()
+        self.gram, row, self.lo, self.more = (np.concatenate(c) if found else np.zeros(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (U64, np.int64, np.int64, np.int64), strict=True))
+        self.doc = block.ids[row]
+
+
+def _windows(lo: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of entries, and the entry of each."""
+    n = more + 1
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
+def _payloads(kind: int, number: int, data: np.ndarray, bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, more: np.ndarray, width: int) -> Iterator[tuple]:
+    """Rows of entries with their bytes, one for each bucket."""
+    o = np.argsort(bucket, kind="stable")
+    raw, made, last = data.tobytes(), [], None
+    for b, d, s, m in zip(bucket[o].tolist(), doc[o].tolist(), lo[o].tolist(), more[o].tolist(), strict=True):
+        if b != last and made:
+            yield kind, number, last, b"".join(made)
+            made = []
+        last = b
+        made.append(struct.pack(_HEAD, d, number, s, m) + raw[s : s + m + width])
+    if made:
+        yield kind, number, last, b"".join(made)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    return Hashes(BYTE[data]).spans(starts, starts + width) if len(starts) else np.zeros(0, U64)
+
+
+def _grams(number: int, block: Block, width: int, gram: int, bits: int) -> list[tuple]:
+    own = Bytes(block, width, gram)
+    keys, _, _, place = distinct(own.gram, own.doc)
+    return list(send(number, keys, np.minimum(np.bincount(place, minlength=len(keys)), 65535), bits))
+
+
+def _sorter(width: int, gram: int, bits: int):
+    """Sorts the windows of a block whose string repeats, and sends on the first of those whose string other blocks hold."""
+
+    def run(number: int, block: Block, known: pa.Table) -> pa.Table:
+        own = Bytes(block, width, gram)
+        keys, low, high, place = distinct(own.gram, own.doc)
+        got = reply(known)
+        far = (got > 0)[place] if len(keys) else np.zeros(0, bool)
+        hot = (got > 1)[place] if len(keys) else np.zeros(0, bool)
+        entries = np.flatnonzero(far | (low < high)[place]) if len(keys) else np.zeros(0, np.int64)
+        starts, entry = _windows(own.lo[entries], own.more[entries])
+        gone = later(own.data, starts, own.doc[entries][entry], width)
+        out = [(1, number, -1, state(np.sort(starts[gone])))]
+        stays = np.zeros(len(entries), bool)
+        stays[entry[~gone]] = True
+        sent = entries[stays & far[entries] & ~hot[entries]]
+        out += _payloads(ENTRY, number, own.data, (own.gram[sent] >> U64(64 - bits)).astype(np.int64), own.doc[sent], own.lo[sent], own.more[sent], width)
+        if len(single := np.sort(starts[~gone & hot[entries][entry]])):
+            keys = distinct(_hashed(own.data, single, width), single)[0]
+            out += [(WINDOW, *r[1:]) for r in send(number, keys, np.ones(len(keys), np.uint16), bits)]
+            out.append((LATER, number, -1, state(single)))
+        return pa.Table.from_batches([rows(out)])
+
+    return run
+
+
+def _hot(width: int, bits: int):
+    """Sends the windows of hot strings whose hash other blocks hold too, one by one."""
+
+    def run(number: int, block: Block, known: pa.Table) -> pa.Table:
+        starts, data = starts_of(known, LATER), np.frombuffer(b"".join(block.texts), np.uint8)
+        h = _hashed(data, starts, width)
+        place = distinct(h, starts)[3]
+        keep = (reply(known) > 0)[place] if len(starts) else np.zeros(0, bool)
+        starts, bucket = starts[keep], (h[keep] >> U64(64 - bits)).astype(np.int64)
+        row = np.searchsorted(np.cumsum([len(t) for t in block.texts]), starts, "right")
+        return pa.Table.from_batches([rows(list(_payloads(ENTRY, number, data, bucket, block.ids[row], starts, np.zeros(len(starts), np.int64), width)))])
+
+    return run
+
+
+def _settler(width: int):
+    def settle(table: pa.Table) -> pa.Table:
+        buffer, at, heads, places = b"".join(table.column("payload").to_pylist()), 0, [], []
         while at < len(buffer):
             heads.append(head := struct.unpack_from(_HEAD, buffer, at))
             places.append(at + _HEAD_SIZE)
             at += _HEAD_SIZE + head[3] + width
-        doc, tag, lo, more = (np.array(c, np.int64) for c in zip(*heads, strict=True))
-        n = more + 1
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner = np.repeat(np.arange(len(n)), n)
-        left, group = radix_groups(np.frombuffer(buffer, np.uint8), np.array(places)[owner] + step, width)
-        own = doc[owner[left]]
-        least = np.full(group.max() + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, own)
-        gone = left[own > least[group]]
-        return doc[owner[gone]], tag[owner[gone]], lo[owner[gone]] + step[gone]
+        doc, block, lo, more = (np.array(c, np.int64) for c in zip(*heads, strict=True))
+        first = np.array(places)
+        starts, entry = _windows(first, more)
+        gone = np.flatnonzero(later(np.frombuffer(buffer, np.uint8), starts, doc[entry], width))
+        found, owner = lo[entry[gone]] + starts[gone] - first[entry[gone]], block[entry[gone]]
+        out = [(1, int(b), -1, state(np.sort(found[owner == b]))) for b in np.unique(owner)]
+        return pa.Table.from_batches([rows(out)])
 
     return settle
 
 
-def _row(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-    kept, at = [], 0
-    for s, e in spans:
-        kept.append(raw[at:s])
-        at = e
-    rest = b"".join([*kept, raw[at:]]) if spans else raw
-    return len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def _finisher(width: int):
+    def run(number: int, block: Block, known: pa.Table) -> pa.Table:
+        data = np.frombuffer(b"".join(block.texts), np.uint8)
+        edge, starts = np.zeros(len(data) + 1, np.int64), starts_of(known)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + width, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        cols, at = ([], [], [], []), 0
+        for text in block.texts:
+            out = gone[at : at + len(text)]
+            n = int(out.sum())
+            spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()) if n else 0
+            kept = data[at : at + len(text)][~out].tobytes() if n else text
+            for column, value in zip(cols, (len(text), n, spans, hashlib.sha256(kept).hexdigest()), strict=True):
+                column.append(value)
+            at += len(text)
+        return pa.Table.from_arrays([pa.array(block.doc_ids(), pa.int64()), *map(pa.array, cols)], schema=_RESULT) if cols[0] else _RESULT.empty_table()
+
+    return run
 
 
 def dedup_bytes(docs: DataFrame, width: int = BYTES, gram: int = GRAM) -> DataFrame:
@@ -88,10 +208,25 @@ def dedup_bytes(docs: DataFrame, width: int = BYTES, gram: int = GRAM) -> DataFr
     A byte of the UTF-8 text goes if a string of ``width`` bytes over it also starts in a document with a smaller doc_id. Strings
     are judged on the input and never cross documents. A null text is empty; a document of null id neither loses bytes nor takes
     them from others; repeated rows of one id leave each other alone, whatever their texts; shorter texts stay whole; other
-    columns are ignored and an empty table gives an empty result. Neighbourhoods that repeat as a whole are told by 98 bits of
-    hash, all other strings by their bytes.
+    columns are ignored and an empty table gives an empty result. A text of any length lies in one block, which one task holds in memory.
     """
-    docs = prepared(docs)
-    plan = Plan(docs, byte_symbols, width, gram)
-    by_bucket, spans = repeated_spans(docs, plan, _extend(width), _settle(width))
-    return finish(by_bucket, spans, plan, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = keyed(docs, "doc_id", "text", doc_id="long")
+    sizes = Sizes(docs)
+    blocks = blocked(docs, sizes)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                yield rows(_grams(number, Block(packed), width, gram, sizes.bits))
+
+    asked = materialise(blocks.mapInArrow(first, SCHEMA), "grams")
+    known = materialise(answered(asked, sizes, lambda total, count: np.where(count > 1, 1 + (total > HOT), 0).astype(np.uint8)), "open")
+    sent = materialise(each_block(blocks, known, sizes, _sorter(width, gram, sizes.bits), SCHEMA), "sorted")
+    entries = sent.where(f"kind = {ENTRY}")
+    if not sent.where(f"kind = {WINDOW}").isEmpty():
+        asked = sent.where(f"kind = {WINDOW}").selectExpr("0 AS kind", "block", "bucket", "payload")
+        known = answered(asked, sizes, lambda total, count: (count > 1).astype(np.uint8)).unionByName(sent.where(f"kind = {LATER}"))
+        entries = entries.unionByName(materialise(each_block(blocks, known, sizes, _hot(width, sizes.bits), SCHEMA), "hot"))
+    found = by_bucket(entries.selectExpr("0 AS kind", "block", "bucket", "payload"), sizes, _settler(width))
+    known = sent.where("kind = 1").unionByName(found)
+    return each_block(blocks, known, sizes, _finisher(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

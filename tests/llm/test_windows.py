@@ -80,7 +80,7 @@ def test_small_chunks_and_flushes(spark, monkeypatch):
 def test_anchors_cover_every_window():
     rng = np.random.default_rng(3)
     pieces = [anchors.BYTE[rng.integers(0, 3, n)] for n in (0, 10, 49, 50, 51, 400, 7, 1000)]
-    _, _, piece, lo, more = anchors.anchors(pieces, 50, 24)
+    _, piece, lo, more = anchors.anchors(pieces, 50, 24)
     seen = sorted((p, s) for p, a, m in zip(piece.tolist(), lo.tolist(), more.tolist(), strict=True) for s in range(a, a + m + 1))
     assert seen == [(i, s) for i, p in enumerate(pieces) for s in range(len(p) - 49)]
 
@@ -97,6 +97,15 @@ def test_radix_groups():
         assert sorted(map(sorted, (set(left[group == g].tolist()) for g in np.unique(group)))) == sorted(sorted(g) for g in by.values() if len(g) > 1)
 
 
+def test_hot_strings_are_dealt_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(21)
+    line = "this very line of over fifty bytes stands in every document of the table; "
+    rows = [(i, f"{rng.random()}" * rng.randrange(3) + line * rng.randrange(1, 3) + f"{rng.randrange(4)}" * 40) for i in rng.sample(range(300), 120)]
+    got = suffix.dedup_bytes(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_bytes(rows)))
+
+
 def test_odd_rows(spark):
     docs, rows = odd_docs(spark), [(r[0], r[1]) for r in odd_rows()]
     assert sorted(map(str, map(tuple, substring.dedup_words(docs).collect()))) == sorted(map(str, brute_words(rows)))
