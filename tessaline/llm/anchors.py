@@ -46,30 +46,6 @@ class Hashes:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def byte_symbols(raw: bytes) -> np.ndarray:
-    return BYTE[np.frombuffer(raw, np.uint8)]
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_symbols(raw: bytes) -> np.ndarray:
-    """A hash of each word; long texts are cut at white space, so memory stays that of a chunk and of the longest word."""
-    out, at = [], 0
-    while at < len(raw):
-        end = at + CHUNK
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        data = np.frombuffer(raw[at:end] + b" ", np.uint8)
-        space = _SPACE[data]
-        before = np.concatenate([[True], space[:-1]])
-        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-        out.append(Hashes(BYTE[data]).spans(starts, ends))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:

@@ -84,7 +84,7 @@ def blocked(docs: DataFrame, sizes: Sizes) -> DataFrame:
                 ids.append(i)
                 texts.append(t or b"")
                 size += len(texts[-1]) + 64
-                if size >= limit:
+                if size >= limit or len(ids) == 65_535:  # a count of its documents fits 16 bits
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([Block.pack(ids, texts)], pa.binary())], schema=schema)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:

@@ -21,6 +21,18 @@ def keyed(docs: DataFrame, *names: str, **types: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`").cast(types.get(n, "string")).alias(n) for n in names))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that none of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that a Python worker holds one whatever the length of its texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

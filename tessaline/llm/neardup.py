@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five words (all words of a shorter document). Its weight is its count times an idf that a count-min sketch of
-fixed size gives for the whole corpus. Samples of the weighted sets are banded; documents of a bucket are compared with
+A shingle is five words (all words of a shorter document). Its weight is its count times its idf, from exact document frequencies over
+the whole corpus. Samples of the weighted sets are banded; documents of a bucket are compared with
 its leader by weighted Jaccard similarity, which never lists the pairs of a large group. Where that leaves a bucket in several
 classes, every two documents of different classes are compared by their samples, block by block in a large bucket, and by whole texts
 where the samples allow a link.
@@ -13,13 +13,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..storage import materialise
-from .anchors import U64, Hashes, mix, word_symbols
-from .common import bounded_batches, keyed
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, each_block, mix, reply, send
+from .blocks import rows as request_rows
+from .common import bounded_batches, fresh, keyed
+from .words import Windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -27,36 +30,56 @@ BANDS, ROWS = 12, 4
 SMALL, BLOCK, WORDS = 32, 1024, 1 << 20
 #: Of pairs at the threshold, 4 in 100,000 share fewer of their 48 samples; fewer than banding itself misses.
 ALIKE = 28
-#: The sketch: two rows of so many counters, in chunks of that size.
-CELLS, CHUNK = 1 << 17, 1 << 13
-#: How much more than a shingle of all documents one of a single document weighs. Kept small: in a group of thousands of copies
-#: the shared shingles are frequent and the edits unique, and a strong idf would turn near copies into strangers.
-IDF = 0.1
+#: How much more than a shingle of all documents one of a single document weighs.
+IDF = 1.0
+#: Document frequencies are kept as so many steps for each doubling, in a byte.
+STEPS = 8
 _SEEDS = np.random.default_rng(971).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(U64) | U64(1)
 
 
+def all_shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in order, how often each comes, and its text."""
+    w = Windows(texts)
+    n = np.bincount(w.doc, minlength=len(texts))
+    h, doc = [], []
+    for length in range(1, size + 1):  # a text of fewer words is one shingle
+        w.grow(length)
+        at = w.all() if length == size else np.flatnonzero((n[w.doc] == length) & (np.diff(w.doc, prepend=-1) > 0))
+        h.append(w.hash[0][at])
+        doc.append(w.doc[at])
+    h, doc = np.concatenate(h), np.concatenate(doc)
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)])
+    return h[start], np.diff([*start, len(h)]), doc[start]
+
+
 def shingles(raw: bytes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and how often each comes."""
-    symbols = word_symbols(raw)
-    if not len(symbols):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    h = Hashes(symbols).grams(min(size, len(symbols)))
-    return np.unique(h, return_counts=True)
+    return all_shingles([raw], size)[:2]
 
 
-def cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & U64(CELLS - 1)).astype(np.int64), ((h >> U64(32)) & U64(CELLS - 1)).astype(np.int64)
+def steps_of(frequency: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(frequency) * STEPS), 255).astype(np.uint8)
 
 
 class Idf:
-    """Weights by document frequency, from the sketch."""
+    """1 + IDF ln((1 + documents) / (1 + frequency)) / ln(1 + documents), by the steps of the frequency."""
+
+    def __init__(self, documents: int):
+        n = max(documents, 1)
+        self.table = (1 + IDF * np.log((1 + n) / (1 + np.minimum(2.0 ** (np.arange(256) / STEPS), n))) / np.log(1 + n)).astype(np.float32)
 
-    def __init__(self, sketch: np.ndarray, documents: int):
-        self.table = [(1 + IDF * (1 - np.log1p(np.minimum(row, documents)) / np.log1p(max(documents, 1)))).astype(np.float32) for row in sketch]
+    def weigh(self, steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts.astype(np.float32) * self.table[steps]
 
-    def weigh(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        a, b = cells(h)
-        return counts.astype(np.float32) * np.maximum(self.table[0][a], self.table[1][b])  # the lesser count is nearer the truth
+    def features(self, packed: list[bytes], steps: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Shingles of packed texts with their weights."""
+        if not packed:
+            return []
+        h, counts, doc = all_shingles([zstandard.decompress(p) for p in packed])
+        w, ends = self.weigh(np.frombuffer(b"".join(steps), np.uint8), counts), np.cumsum(np.bincount(doc, minlength=len(packed)))
+        return [(h[a:b], w[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -116,103 +139,72 @@ def node_of(raw: bytes) -> str | None:
     return hashlib.md5(b" ".join(words)).hexdigest() if words else None
 
 
-def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Document frequencies of all shingles of all documents, in a sketch of fixed size, and the number of documents."""
+def _frequencies(blocks: DataFrame, sizes: Sizes) -> DataFrame:
+    """For each block the steps of the document frequencies, over all documents, of its distinct shingles."""
 
     def run(batches):
-        counts, n = np.zeros((2, CELLS), np.int64), 0
         for batch in batches:
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                if raw and len(h := shingles(raw)[0]):
-                    n += 1
-                    for row, cell in zip(counts, cells(h), strict=True):
-                        np.add.at(row, cell, 1)
-        chunks = counts.reshape(-1, CHUNK)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(-1, len(chunks)), pa.int32()), "counts": pa.array([np.array([n], "<i8").tobytes(), *(c.astype("<i8").tobytes() for c in chunks)], pa.binary())})
+            for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                keys, counts = np.unique(all_shingles(Block(packed).texts)[0], return_counts=True)
+                yield request_rows(list(send(number, keys, counts, sizes.bits)))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    asked = materialise(blocks.mapInArrow(run, SCHEMA), "shingles")
+    return materialise(answered(asked, sizes, lambda total, count: steps_of(total)), "frequencies")
 
-    rows = docs.select("text").mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    by = {r.chunk: np.frombuffer(r.counts, "<i8") for r in rows}
-    if not by:
-        return np.zeros((2, CELLS), np.int64), 0
-    return np.concatenate([by[i] for i in range(len(by) - 1)]).reshape(2, CELLS), int(by[-1][0])
 
+_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("sample", pa.list_(pa.int16())), ("text", pa.binary()), ("steps", pa.binary())])
 
-def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, node, and for documents with words their weight, the bands and two bytes of every sample."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("sample", pa.list_(pa.int16()))])
 
-    def run(batches):
-        for batch in batches:
-            raws = [r or b"" for r in batch.column("text").cast(pa.binary()).to_pylist()]
-            nodes = [node_of(r) for r in raws]
-            bands: list = [None] * len(raws)
-            short: list = [None] * len(raws)
-            total: list = [None] * len(raws)
-            todo: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def settle(todo=todo, bands=bands, short=short, total=total) -> None:
-                if not todo:
-                    return
-                lens = np.array([len(h) for _, h, _ in todo])
-                h = np.concatenate([h for _, h, _ in todo])
-                first = np.cumsum(lens) - lens
-                w = idf.value.weigh(h, np.concatenate([c for _, _, c in todo]))
-                s = samples(h, w, first)
-                b = np.zeros((len(todo), BANDS), U64)
-                for j in range(ROWS):
-                    b = mix(b ^ s[:, j::ROWS]) + U64(j)
-                sums = np.add.reduceat(w.astype(np.float64), first).tolist()
-                for (i, _, _), band, own, weight in zip(todo, b.view(np.int64).tolist(), s.view(np.int16)[:, ::4].tolist(), sums, strict=True):
-                    bands[i], short[i], total[i] = band, own, weight
-                todo.clear()
-
-            for i, raw in enumerate(raws):
-                if nodes[i]:
-                    h, counts = shingles(raw)
-                    todo.append((i, h, counts))
-                    size += len(h)
-                    if size > 1 << 16:
-                        settle()
-                        size = 0
-            settle()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(total, pa.float64()), pa.array(bands, schema.field(3).type), pa.array(short, schema.field(4).type)], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, node string, weight double, bands array<long>, sample array<short>")
-
-
-def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, text) for each of ``needed`` (node, doc_id)."""
+def _signatures(blocks: DataFrame, frequencies: DataFrame, sizes: Sizes, idf: Idf) -> DataFrame:
+    """doc_id, node, and for documents with words their weight, the bands, two bytes of every sample, the text and its shingles' steps."""
 
-    def run(batches):
-        for batch in batches:
-            keep = [n == node_of(r or b"") for n, r in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(number: int, block: Block, known: pa.Table) -> pa.Table:
+        nodes = [node_of(t) for t in block.texts]
+        h, counts, doc = all_shingles(block.texts)
+        own = reply(known)[np.unique(h, return_inverse=True)[1]]
+        weights = idf.weigh(own, counts)
+        columns: list[list] = [[None] * len(nodes) for _ in range(5)]
+        first = np.flatnonzero(np.diff(doc, prepend=-1) > 0)
+        ends = np.append(first[1:], len(doc))
+        at = 0
+        while at < len(first):  # some ten thousand shingles at a time, or a document
+            to = max(at + 1, int(np.searchsorted(ends, first[at] + (1 << 16), "right")))
+            part = slice(int(first[at]), int(ends[to - 1]))
+            s = samples(h[part], weights[part], first[at:to] - first[at])
+            b = np.zeros((to - at, BANDS), U64)
+            for j in range(ROWS):
+                b = mix(b ^ s[:, j::ROWS]) + U64(j)
+            sums = np.add.reduceat(weights[part].astype(np.float64), first[at:to] - first[at]).tolist()
+            for k, weight, band, short in zip(range(at, to), sums, b.view(np.int64).tolist(), s.view(np.int16)[:, ::4].tolist(), strict=True):
+                i = int(doc[first[k]])
+                for column, value in zip(columns, (weight, band, short, zstandard.compress(block.texts[i], 1), own[first[k] : ends[k]].tobytes()), strict=True):
+                    column[i] = value
+            at = to
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((block.doc_ids(), nodes, *columns), _SIGNATURE, strict=True)], schema=_SIGNATURE)
+
+    return each_block(blocks, frequencies, sizes, run, "doc_id long, node string, weight double, bands array<long>, sample array<short>, text binary, steps binary")
 
-    joined = docs.join(needed.hint("merge"), "doc_id").select("node", "text")  # the same plan at every size
-    return joined.mapInArrow(run, "node string, text string").dropDuplicates(["node"])
 
+def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text, steps) for each of ``needed`` (node, doc_id)."""
+    one = needed.select(F.col("node").alias("n"), F.col("doc_id").alias("d")).hint("merge")  # the same plan at every size
+    return rows.join(one, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("node", "text", "steps").dropDuplicates(["node"])
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) with a column ``linked``. Rows come sorted by b, whose features are kept from one row to the next."""
+
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """The pairs (a, b) with a column ``linked``. Each text of a batch is taken apart once."""
 
     def run(batches):
-        last, features = None, None
-        weighed = lambda raw: (lambda h, c: (h, idf.value.weigh(h, c)))(*shingles(raw))
         for batch in batches:
-            linked = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("ta").cast(pa.binary()).to_pylist(), batch.column("tb").cast(pa.binary()).to_pylist(), strict=True):
-                if b != last:
-                    last, features = b, weighed(tb)
-                linked.append(similarity(weighed(ta), features) >= threshold)
+            texts = {}
+            for n in "ab":
+                texts.update(zip(batch.column(n).to_pylist(), zip(batch.column(f"t{n}").to_pylist(), batch.column(f"s{n}").to_pylist(), strict=True), strict=True))
+            own = dict(zip(texts, idf.features(*map(list, zip(*texts.values(), strict=True))), strict=True)) if texts else {}
+            linked = [similarity(own[a], own[b]) >= threshold for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    of = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"), F.col("steps").alias(f"s{n}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "sa", "tb", "sb")
     return materialise(both.mapInArrow(run, "a string, b string, linked boolean"), "links")
 
 
@@ -227,8 +219,8 @@ def _keys(bands, weight, threshold: float):
     return F.flatten(F.transform(bands, of))
 
 
-def _block_links(rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) in buckets, enough to join what belongs together, from (key, p, bulk, node, c, weight, sample, bands, text).
+def _block_links(rows: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Links (a, b) in buckets, enough to join what belongs together, from (key, p, bulk, node, c, weight, sample, bands, text, steps).
 
     The members of a bucket's class ``bulk`` and the rest are dealt to blocks; every block of the rest is compared with every
     block, so no pair is left out, and members of the bulk, which are of one class, are not compared with each other. ``p`` is the
@@ -261,29 +253,24 @@ def _block_links(rows: DataFrame, idf, threshold: float) -> DataFrame:
             first = (bands[to] == bands[i]).argmax(1) == p[i] >> 1
             pairs.append(np.stack([np.full(first.sum(), i), to[first], alike[first]]))
         pairs = np.concatenate(pairs, axis=1)
-        parent, features, found = list(range(int(code.max()) + 1)), {}, []
-        text = column("text").cast(pa.binary())
+        parent, found = list(range(int(code.max()) + 1)), []
+        some = np.unique(pairs[:2])
+        features = dict(zip(some.tolist(), idf.features([column("text")[int(i)].as_py() for i in some], [column("steps")[int(i)].as_py() for i in some]), strict=True))
 
         def root(x: int) -> int:
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        def weighed(i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in features:
-                h, counts = shingles(text[i].as_py())
-                features[i] = h, idf.value.weigh(h, counts)
-            return features[i]
-
         for i, j, _ in pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist():  # likely links first
             x, y = root(code[i]), root(code[j])
-            if x != y and similarity(weighed(i), weighed(j)) >= threshold:
+            if x != y and similarity(features[i], features[j]) >= threshold:
                 parent[x] = y
                 found.append((i, j))
         node = column("node")
         return pa.table({n: node.take(pa.array([f[k] for f in found], pa.int64())) for k, n in enumerate("ab")})
 
-    met = own.select("*", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "m.side", "p", "node", "c", "weight", "sample", "bands", "text")
+    met = own.select("*", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "m.side", "p", "node", "c", "weight", "sample", "bands", "text", "steps")
     return materialise(met.groupBy("key", "i", "j").applyInArrow(compare, "a string, b string"), "links")
 
 
@@ -294,11 +281,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     have the same words, however large the bucket. Null texts and texts without words are classes of their own. A class takes the
     least of its ids that are not null; repeated rows each get their row; other columns are ignored and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     docs = keyed(docs, "doc_id", "text", doc_id="long")
-    idf = spark.sparkContext.broadcast(Idf(*_sketch(docs)))  # 1 MB, whatever the corpus
-    rows = materialise(_signatures(docs, idf), "signatures")
+    sizes = Sizes(docs)
+    idf, blocks = Idf(sizes.documents), blocked(docs, sizes)
+    rows = materialise(_signatures(blocks, _frequencies(blocks, sizes), sizes, idf), "signatures")
     first_of = lambda *names: [F.first(n).alias(n) for n in names]  # noqa: E731  the same in all rows of a node
     nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first_of("weight", "bands", "sample")), "nodes")
     # the leader is the member of least id: copies tend to follow their original, and an original is nearest to all its copies
@@ -308,7 +295,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = materialise(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialise(ends.join(nodes.select("node", "doc_id"), "node"), "needed")
-    texts = materialise(_texts(docs, needed), "texts")
+    texts = materialise(_texts(rows, needed), "texts")
     first = _verified(pairs, texts, idf, threshold)
     edges = first.where("linked").select("a", "b")
     comp = materialise(connected_components(edges, "a", "b"), "components")
@@ -344,11 +331,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each class, that of least doc_id; columns unchanged. Rows without words all stay."""
     found = materialise(classes(docs, threshold), "near")
-    kept = found.where("node is null or doc_id <=> class_id").select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("node", F.lit("")).alias("_node")).distinct()
+    id_, node, own = fresh(docs, "id", "node", "own")
+    kept = found.where("node is null or doc_id <=> class_id").select(F.col("doc_id").cast("long").alias(id_), F.coalesce("node", F.lit("")).alias(node)).distinct()
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+        return docs.join(kept, same_id, "left_semi")
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    own = docs.withColumn("_own", F.when(F.size(words) > 0, F.md5(F.array_join(words, " "))).otherwise(F.lit("")))
-    own = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    with_words = own.where("_own <> ''").dropDuplicates(["doc_id", "_own"])
-    return with_words.unionByName(own.where("_own = ''")).drop("_own")
+    rows = docs.withColumn(own, F.when(F.size(words) > 0, F.md5(F.array_join(words, " "))).otherwise(F.lit("")))
+    rows = rows.join(kept, same_id & (F.col(own) == F.col(node)), "left_semi")
+    with_words = rows.where(F.col(own) != "").dropDuplicates(["doc_id", own])
+    return with_words.unionByName(rows.where(F.col(own) == "")).drop(own)

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from ..storage import materialise
 from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, mix, reply, rows, send, slices, starts_of, state
 from .common import keyed
+from .words import Windows
 
 WORDS, FIRST = 13, 4
-_ONE, _TWO = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
 
 
@@ -30,64 +30,6 @@ def lengths(width: int, first: int) -> list[int]:
     return out
 
 
-def doubled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes (rows of two) of windows from those of their two halves."""
-    return np.stack([mix(a[0] * _ONE + mix(b[0] ^ _TWO)), mix(a[1] * _TWO + mix(b[1] ^ _ONE))])
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MASK = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)
-#: Words of more bytes are hashed one by one.
-LONG = 64
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 bits, as two rows, for the words of ``data``, which ends with eight bytes more.
-
-    Eight bytes at a time enter a chain of bijective mixings; words of equal length up to eight bytes never share a hash.
-    """
-    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = np.stack([mix(size.astype(U64) * _ONE), mix(size.astype(U64) * _TWO)])
-    left = np.arange(len(start))
-    for at in range(0, LONG, 8):
-        left = left[size[left] > at]
-        if not len(left):
-            break
-        rest = size[left] - at
-        chunk = eight[start[left] + at]
-        chunk = np.where(rest < 8, chunk & _MASK[np.minimum(rest, 7)], chunk)
-        h[:, left] = doubled(h[:, left], np.stack([chunk, chunk]))
-    for i in np.flatnonzero(size > LONG).tolist():
-        h[:, i] = np.frombuffer(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest(), "<u8")
-    return h
-
-
-class Windows:
-    """The words of a block by document, and hashes of all windows of a length that grows."""
-
-    def __init__(self, block: Block):
-        data = np.frombuffer(b"\n".join([*block.texts, b" " * 8]), np.uint8)
-        space = _SPACE[data]
-        before = np.concatenate([[True], space[:-1]])
-        start, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-        ends = np.cumsum([len(t) + 1 for t in block.texts])
-        self.doc = np.searchsorted(ends, start, "right")
-        self.length, self.hash = 1, word_hashes(data, start, end - start)
-        self.usable = ~block.null[self.doc]  # windows of documents without an id are none
-
-    def grow(self, length: int) -> None:
-        while self.length < length:
-            shift = min(self.length, length - self.length)
-            self.hash = doubled(self.hash[:, :-shift], self.hash[:, shift:]) if self.hash.shape[1] > shift else self.hash[:, :0]
-            self.length += shift
-
-    def all(self) -> np.ndarray:
-        """Starts of all windows that lie within a document."""
-        n = max(len(self.doc) - self.length + 1, 0)
-        return np.flatnonzero((self.doc[:n] == self.doc[len(self.doc) - n :]) & self.usable[:n])
-
-
 def windows128(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows with their least documents, in order, and the place of every window among them."""
     o = np.lexsort((h[1], h[0]))
@@ -105,7 +47,7 @@ def _sender(steps: list[int], level: int, bits: int):
     """What a block sends on a level: its candidates there, from the candidates before and the replies on them."""
 
     def run(number: int, block: Block, known: pa.Table | None) -> pa.Table:
-        w = Windows(block)
+        w = Windows(block.texts, ~block.null)
         if level:
             w.grow(steps[level - 1])
             before = starts_of(known) if level > 1 else w.all()
@@ -154,7 +96,7 @@ def _finisher(width: int, first: int):
         words = [t.split() for t in block.texts]
         gone = np.zeros(sum(map(len, words)) + 1, np.int64)
         if len(starts := starts_of(known)):
-            w = Windows(block)
+            w = Windows(block.texts, ~block.null)
             for length in lengths(width, first):
                 w.grow(length)
             doc = block.ids[w.doc[starts]]

@@ -7,10 +7,11 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessaline.llm import langid, mixing, neardup, secrets
+from tessaline.llm import langid, mixing, secrets
 from tessaline.storage import materialise
 
 from .cases import odd_docs, odd_rows
+from .test_search import brute_classes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,21 +33,9 @@ def test_stages_in_turn(spark):
 
     unique = materialise(stage["near_dedup"](spark, kept, ""), "t")
     rows = kept.collect()
-    parent = {r.doc_id: r.doc_id for r in rows}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    idf = neardup.Idf(*neardup._sketch(kept))
-    feats = {r.doc_id: (lambda h, c: (h, idf.weigh(h, c)))(*neardup.shingles(r.text.encode())) for r in rows}
-    ids = sorted(feats)
-    for a in ids:
-        for b in ids:
-            if b < a and neardup.similarity(feats[a], feats[b]) >= 0.8:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
+    _, root = brute_classes([(r.doc_id, r.text) for r in sorted(rows, key=lambda r: r.doc_id)], 0.8)
+    ids = sorted(r.doc_id for r in rows)
+    find = lambda i: ids[root(ids.index(i))]
     assert unique.columns == COLUMNS and sorted(r.doc_id for r in unique.collect()) == [i for i in ids if find(i) == i]
 
     clean = materialise(stage["secret_scan"](spark, unique, ""), "t")

@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from tessaline.llm import anchors, blocks, substring, suffix
+from tessaline.llm import anchors, substring, suffix
+from tessaline.llm.words import Windows
 
 from .cases import odd_docs, odd_rows
 
@@ -67,16 +68,6 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(str, map(tuple, suffix.dedup_bytes(df).collect()))) == sorted(map(str, brute_bytes(rows)))
 
 
-def test_small_chunks_and_flushes(spark, monkeypatch):
-    """Long documents are cut into overlapping pieces; here within one process, by the functions that the tasks run."""
-    monkeypatch.setattr(anchors, "CHUNK", 64)
-    rng = random.Random(8)
-    text = " ".join(rng.choice(["aa", "b", "ccc"]) for _ in range(900))
-    assert len(anchors.word_symbols(text.encode())) == 900
-    monkeypatch.setattr(anchors, "CHUNK", 1 << 18)
-    assert (anchors.word_symbols(text.encode()) == np.concatenate([anchors.word_symbols(w.encode()) for w in text.split()])).all()
-
-
 def test_anchors_cover_every_window():
     rng = np.random.default_rng(3)
     pieces = [anchors.BYTE[rng.integers(0, 3, n)] for n in (0, 10, 49, 50, 51, 400, 7, 1000)]
@@ -142,8 +133,7 @@ def test_words_that_defeat_polynomial_hashes(spark):
 def test_word_hashes_tell_words_apart():
     rng = random.Random(3)
     words = [bytes(rng.choice(b"ab\xc3") for _ in range(rng.randrange(1, 90))) for _ in range(3000)] + [b"a" * n for n in range(1, 100)] + [b"a" * 1_000_000]
-    block = blocks.Block(blocks.Block.pack([1, None, 2], [b" \t".join(words), b"", b"\x0b".join(reversed(words))]))
-    w = substring.Windows(block)
+    w = Windows([b" \t".join(words), b"", b"\x0b".join(reversed(words))])
     own = [tuple(h) for h in w.hash.T.tolist()]
     assert len(set(zip(own[: len(words)], words, strict=True))) == len(set(words)) == len(set(own)) and own == own[::-1]
     assert w.doc.tolist() == [0] * len(words) + [2] * len(words)
