@@ -42,7 +42,7 @@ def test_stages_in_turn(spark):
     net = secrets.train(unique)
     before = {r.doc_id: r.text for r in unique.collect()}
     for r in clean.collect():
-        (_, spans), = secrets.all_spans([before[r.doc_id]], net)
+        (_, spans, _), = secrets.all_spans([before[r.doc_id]], net)
         assert r.text == secrets.redacted(before[r.doc_id], spans) and r.n_chars == len(r.text)
         assert not secrets.base_spans(r.text)
 

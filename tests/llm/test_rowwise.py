@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -135,7 +136,7 @@ def test_secret_network_and_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     net = secrets.train(docs)
     fresh = secrets.generated(400, seed=99)
-    scores = net.scores(np.stack([secrets.encode(t, s, e) for t, s, e, _ in fresh]))
+    scores = net.scores([d[:3] for d in fresh])
     truth = np.array([d[3] for d in fresh])
     assert (scores[truth == 1] >= net.threshold).mean() > 0.85 and (scores[truth == 0] < net.threshold).mean() > 0.85
     for r in secrets.scan(docs, net).join(docs.select("doc_id", "text"), "doc_id").collect():
@@ -147,6 +148,46 @@ def test_secret_network_and_scan(spark):
     out = secrets.redact(spark.createDataFrame([(1, f"plain words before {key} after", "en", "s", 1), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert key not in out[0].text and out[0].n_chars == len(out[0].text) and out[1].text is None
     assert secrets.scan(odd_docs(spark).limit(0), net).count() == 0
+    assert sum(r.n_judged for r in secrets.scan(docs, net).collect()) > 0
+    found = lambda text: [text[s:e] for k, s, e in secrets.all_spans([text], net)[0][1] if k == "cnn"]
+    letters = "QwZkTrbXhGvNsLpYcJdMfRaB"
+    assert found(f"words then {letters} and more") == [letters]
+    behind = "/".join(["folder"] * 12) + "/" + key  # the key lies beyond the network's field
+    assert found(f"see {behind} end") == [behind]
+
+
+def test_secret_candidates_by_plain_rules():
+    rng = random.Random(9)
+    parts = ["abc", "ABC", "Word", "42", "-", "_", " ", ".", "/", "é", "longerwords", "\n", "0123456789abcdef", "token=abcdefghijkl"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(16)))
+        taken, want = secrets.base_spans(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text):
+            run = m[0]
+            letters, digits = re.search("[A-Za-z]", run), re.search("[0-9]", run)
+            cased = letters and not (run.islower() or run.isupper() or run.istitle())
+            if (len(run) >= 16 or letters and digits or cased) and not any(a < m.end() and m.start() < e for _, a, e in taken):
+                want.append(m.span())
+        assert list(secrets.candidates(text, taken)) == want
+
+
+def test_convolution_by_plain_loops():
+    net = secrets.Network.new(np.random.default_rng(3))
+    x, _ = secrets.encode([("see é key=abcDEF0123456789 now", 10, 26), ("x" * 30 + "Ab3" * 50, 30, 180)])
+    p = net.params
+    for row, logit in zip(x, net.logits(x), strict=True):
+        z = np.array([[max(0.0, sum(p["E"][row[t + i]][d] * p["W"][i * 8 + d][f] for i in range(5) for d in range(8)) + p["b"][f]) for f in range(24)] for t in range(len(row) - 4)])
+        assert logit == pytest.approx(float(np.concatenate([z.max(0), z.mean(0)]) @ p["v"] + p["c"][0]))
+
+
+def test_secret_scan_is_linear():
+    """Ten megabytes of keys; also one run longer than any field."""
+    net = secrets.Network.new(np.random.default_rng(1))
+    net.threshold = 2.0
+    began = time.time()
+    text = "token = abcdef123456 " * 300_000 + "0123456789abcdef " * 200_000 + "Z" * 500_000
+    (base, spans, judged), = secrets.all_spans([text], net)
+    assert len(base) == 500_000 and len(spans) == 500_000 and judged == 1 and time.time() - began < 120
 
 
 def test_gradients_match_differences():
