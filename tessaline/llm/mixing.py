@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .common import keyed
+from .common import fresh
 
 #: Documents that a bucket of a source is meant to hold; a source is ranked bucket by bucket.
 BUCKET_ROWS = 50_000
-#: Longest period that is simulated by a fold in a single row.
-FOLDED = 2048
+#: Longest period that is simulated by a fold in a single row, and longest period at all.
+FOLDED, LONGEST = 2048, 1 << 20
+#: Sources come with weights that the caller writes down; more than this are refused.
+SOURCES = 10_000
 
 
 def exact_quotas(weights: dict[str | None, float]) -> dict[str | None, int]:
@@ -68,8 +70,11 @@ def quotas(weights: dict[str | None, float], period: int) -> dict[str | None, in
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, columns unchanged, laid out in the order of their schedule: partition by partition, row by row."""
-    placed = schedule(docs, **options)
-    return placed.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = fresh(docs, "mix_block", "mix_slot", "mix_position")
+    placed, size = _placed(docs, names, **options)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+    order = (F.col(names[2]), F.col("doc_id"))
+    return placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_period(slots: DataFrame, period: int) -> DataFrame:
@@ -97,25 +102,34 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     Documents of a source come in the order of a hash of id and text, in blocks of ``block_docs``. ``weights`` names the
     target share of each source; sources it leaves out, and all without it, weigh 1. Once a source has run out its slots stay empty,
     and the others keep their own. ``mix_position`` orders rows by slot and place in the block, gaps included. A null source is a
-    source of its own; null ids and texts are hashed as such; repeated rows tie and take neighbouring places; columns of
-    the three names or of the private ones (with a leading underscore, named in the code) give way and all others are carried along; an empty table stays empty. The schedule follows the exact
-    weights, unless ``period`` asks for shares rounded to so many slots (at least twice the number of sources) or a weight is not
-    positive: such a source gets one slot of 1,024.
+    source of its own; null ids and texts, however long, are hashed as such; repeated rows tie and take neighbouring places; columns of
+    the three names give way and all others are carried along; an empty table stays empty. The schedule follows the exact
+    weights, unless ``period`` asks for shares rounded to so many slots (at least twice the number of sources), a weight is not
+    positive (such a source gets one slot of 1,024), or the weights' common denominator exceeds ``LONGEST`` slots (then they are rounded to
+    that). More than ``SOURCES`` sources are an error.
     """
-    own = ("_skey", "_hash", "_bucket", "_before", "_nth", "_m", "_in", "_period_slot", "mix_block", "mix_slot", "mix_position")
-    clash = [c for c in docs.columns if c in own]
-    skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))  # of a null source: empty
-    rows = docs.drop(*clash).withColumns({"_skey": skey, "_hash": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
-    sizes = keyed(docs, "source").groupBy("source").agg(F.count("*").alias("n"))
-    sizes = {r["source"]: r["n"] for r in sizes.collect()}
-    if not sizes:
-        return docs.drop(*clash).withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
+    names = ["mix_block", "mix_slot", "mix_position"]
+    return _placed(docs.drop(*(c for c in docs.columns if c.lower() in names)), names, weights, block_docs, period)[0]
+
+
+def _placed(docs: DataFrame, names: list[str], weights: dict[str | None, float] | None = None, block_docs: int = 16, period: int | None = None) -> tuple[DataFrame, int]:
+    """``docs`` with the three columns in the given names, which it has not, and the bytes of its texts."""
+    block, slot, position = names
+    skey, hash_, bucket, before, nth, m, within, at = fresh(docs.withColumns({n: F.lit(0) for n in names}), "skey", "hash", "bucket", "before", "nth", "m", "within", "at")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))  # of a null source: empty
+    rows = docs.withColumns({skey: key, hash_: F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
+    found = docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    if not found:
+        return docs.withColumns({c: F.lit(None).cast("long") for c in names}), 0
+    sizes, size = {r["s"]: r["n"] for r in found}, sum(r["b"] for r in found)
     weighs = {s: (weights or {}).get(s, 1.0) for s in sizes}
-    if period is None and min(weighs.values()) > 0:
-        share = exact_quotas(weighs)
+    share = exact_quotas(weighs) if period is None and min(weighs.values()) > 0 else None
+    if share is not None and sum(share.values()) <= LONGEST:
         period = sum(share.values())
     else:
-        period = period or 1024
+        period = period or (1024 if share is None else LONGEST)
         while period < 2 * len(sizes):
             period *= 2
         share = quotas(weighs, period)
@@ -124,23 +138,22 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     if not folded:  # up to the slot by which each source's last block is due
         used = min(period, max(-(-(-(-n // block_docs)) * period // share[s]) for s, n in sizes.items()))
         plan = spark.createDataFrame(first_slots(share, period, used), "source string, nth long, slot long")
-        if used < period:  # no block lies beyond the first period
-            period, share = min(period, 1 << 62), {s: min(m, 1 << 62) for s, m in share.items()}
-    quota = spark.createDataFrame([(s, int(m)) for s, m in share.items()], "source string, m long")
+    quota = spark.createDataFrame([(s, int(k)) for s, k in share.items()], "source string, m long")
     plan = (materialise(one_period(quota, period), "period") if folded else plan).join(quota.withColumnRenamed("source", "_q"), F.col("source").eqNullSafe(F.col("_q")))
-    slots = plan.select(skey.alias("_skey"), "m", "nth", F.col("slot").alias("_period_slot"))
+    slots = plan.select(key.alias(skey), F.col("m").alias(m), F.col("nth").alias(within), F.col("slot").alias(at))
 
     buckets = max(64, -(-sum(sizes.values()) // BUCKET_ROWS) * 4)
-    rows = rows.withColumn("_bucket", F.expr(f"pmod(shiftrightunsigned(_hash, 8), {buckets}L)"))
-    counts = rows.groupBy("_skey", "_bucket").agg(F.count("*").alias("n"))
-    before = counts.select("_skey", "_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_skey", "_bucket").orderBy("_hash", "doc_id")) - 1
-    ranked = rows.withColumn("_nth", within.cast("long")).join(before, ["_skey", "_bucket"])  # both sides already lie by these keys
-    ranked = ranked.withColumn("_nth", F.col("_nth") + F.col("_before")).withColumn("mix_block", F.expr(f"_nth div {block_docs}"))
+    rows = rows.withColumn(bucket, F.expr(f"pmod(shiftrightunsigned(`{hash_}`, 8), {buckets}L)"))
+    counts = rows.groupBy(skey, bucket).agg(F.count("*").alias("n"))
+    above = Window.partitionBy(skey).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(skey, bucket, F.coalesce(F.sum("n").over(above), F.lit(0)).alias(before))
+    rank = F.row_number().over(Window.partitionBy(skey, bucket).orderBy(hash_, "doc_id")) - 1
+    ranked = rows.withColumn(nth, rank.cast("long")).join(counts, [skey, bucket])  # both sides already lie by these keys
+    ranked = ranked.withColumn(nth, F.col(nth) + F.col(before)).withColumn(block, F.expr(f"`{nth}` div {block_docs}"))
     # the two tables of a folded period have at most ``FOLDED`` rows
     small = F.broadcast if folded else lambda table: table
-    ranked = ranked.join(small(slots.select("_skey", F.col("m").alias("_m")).distinct()), "_skey").withColumn("_in", F.col("mix_block") % F.col("_m"))
-    placed = ranked.join(small(slots.select("_skey", F.col("nth").alias("_in"), "_period_slot")), ["_skey", "_in"])
-    placed = placed.withColumn("mix_slot", F.expr(f"(mix_block div _m) * {period} + _period_slot"))
-    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_nth") % block_docs)
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns if c not in clash), "mix_block", "mix_slot", "mix_position")
+    ranked = ranked.join(small(slots.select(skey, m).distinct()), skey).withColumn(within, F.col(block) % F.col(m))
+    placed = ranked.join(small(slots.drop(m)), [skey, within])
+    placed = placed.withColumn(slot, F.expr(f"(`{block}` div `{m}`) * {period} + `{at}`"))
+    placed = placed.withColumn(position, F.col(slot) * block_docs + F.col(nth) % block_docs)
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), *names), size

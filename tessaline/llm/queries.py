@@ -50,9 +50,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+#: Target weights of the sources, by their names in order: the first weighs 5, the second 3, the third 2, the fourth 1, and so on again.
+WEIGHTS = (5, 3, 2, 1)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule of all documents, all sources weighing the same."""
-    return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+    """The schedule of all documents by unequal weights; the tables hold none, so ``WEIGHTS`` are dealt to the sources by name."""
+    docs = table(spark, sf_dir, "documents")
+    names = [r[0] for r in docs.select("source").where("source is not null").distinct().orderBy("source").limit(mixing.SOURCES + 1).collect()]
+    weights = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(names)}
+    return mixing.schedule(docs, weights).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

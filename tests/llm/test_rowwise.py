@@ -1,11 +1,13 @@
 """Quality rules, language identification, packing, secret scans and mixing against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -250,6 +252,51 @@ def test_mixing_follows_the_exact_weights(spark, weights):
             assert abs(done - weights[source] / total * (t + 1)) < 1
 
 
+def plain_schedule(weights, blocks, slots):
+    """Earliest deadline first by its definition, in fractions: the slot of every block of every source."""
+    total = sum(weights.values())
+    w = {s: Fraction(str(x)) / Fraction(str(total)) for s, x in weights.items()}
+    placed, out = dict.fromkeys(w, 0), {}
+    for t in range(slots):
+        ready = [s for s in sorted(w) if math.floor(placed[s] / w[s]) <= t]
+        s = min(ready, key=lambda s: (math.ceil((placed[s] + 1) / w[s]), s))
+        if placed[s] < blocks[s]:
+            out[s, placed[s]] = t
+        placed[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2, "d": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 0.5003, "b": 0.4897, "c": 0.01}, {"a": 0.37, "b": 0.63}])
+def test_mixing_equals_the_plain_schedule(spark, weights):
+    names = sorted(weights)
+    docs = spark.createDataFrame([(i, f"t{i}", names[i % len(names)]) for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.schedule(docs, weights, block_docs=3).collect()
+    blocks = Counter(s for s, _ in {(r.source, r.mix_block) for r in rows})
+    assert {(r.source, r.mix_block): r.mix_slot for r in rows} == (lambda p: {k: p[k] for k in p if k[1] < blocks[k[0]]})(plain_schedule(weights, blocks, max(r.mix_slot for r in rows) + 1))
+
+
+def test_exact_shares_over_many_slots():
+    """The deviation from the unrounded weights stays under a block over 100,000 slots."""
+    weights = {"a": 1 / 4, "b": 0.3, "c": 0.4499, "d": 0.0001}
+    share = mixing.exact_quotas(weights)
+    period, placed = sum(share.values()), Counter()
+    one = mixing.first_slots(share, period, period)
+    assert len(one) == period
+    for t in range(100_000):
+        placed[one[t % period][0]] += 1
+        assert all(abs(placed[s] - weights[s] * (t + 1)) < 1 for s in weights)
+
+
+def test_mixing_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2], i, i, i, i, i) for i in range(50)], "doc_id long, text string, source string, _hash int, mix_slot int, nth int, skey int, M int")
+    assert sorted(mixing.in_order(docs, block_docs=4).collect()) == sorted(docs.collect())
+    out = mixing.schedule(docs, block_docs=4)
+    assert out.columns == [c for c in docs.columns if c != "mix_slot"] + ["mix_block", "mix_slot", "mix_position"]
+    assert sorted(r._hash for r in out.collect()) == list(range(50))
+    with pytest.raises(ValueError):
+        mixing.schedule(spark.range(10_001).selectExpr("id AS doc_id", "'' AS text", "string(id) AS source"))
+
+
 def test_mixing_odd_rows_and_order(spark):
     docs = odd_docs(spark)
     out = mixing.schedule(docs)
