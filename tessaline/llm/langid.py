@@ -6,16 +6,14 @@ character n-grams of it that are known, from ``MAX_N`` characters down to one.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
 from .common import keyed, map_rows, map_table
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -35,52 +33,107 @@ def ngrams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies of units by language: ``tables[0]`` of words, ``tables[n]`` of n-grams."""
+    """Log frequencies of units by language: table 0 of words, table n of n-grams.
+
+    ``base`` holds what a unit scores in the languages that did not show it, and ``start``, ``lang`` and ``gain`` how much
+    more it scores in those that did, so the size follows the units and not their product with the languages.
+    """
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]] = field(default_factory=list)
+    units: list[dict[str, int]]
+    start: list[np.ndarray]
+    lang: list[np.ndarray]
+    gain: list[np.ndarray]
+    base: np.ndarray
 
     @classmethod
     def fit(cls, counts: list[tuple[str, int, str, int]]) -> Model:
         """From rows of language, table, unit and count. Frequencies are add-half smoothed."""
         langs = sorted({c[0] for c in counts})
         at = {lang: i for i, lang in enumerate(langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
-        totals = np.zeros((MAX_N + 1, len(langs)))
+        model = cls(langs, [], [], [], [], np.zeros((MAX_N + 1, len(langs))))
+        by: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(MAX_N + 1)]
         for lang, n, unit, count in counts:
-            tables[n].setdefault(unit, np.full(len(langs), 0.5))[at[lang]] += count
-            totals[n, at[lang]] += count
-        for n, t in enumerate(tables):
-            base = np.log(totals[n] + 0.5 * len(t) + 1)
-            for unit in t:
-                t[unit] = np.log(t[unit]) - base
-        return cls(langs, tables)
-
-    def word_score(self, word: str) -> np.ndarray:
-        """Log frequency of the word, or the mean over its known n-grams of the greatest length that has any."""
-        if (row := self.tables[0].get(word)) is not None:
-            return row
-        for n in range(MAX_N, 0, -1):
-            if known := [r for g in ngrams(word, n) if (r := self.tables[n].get(g)) is not None]:
-                return sum(known) / len(known)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+            by[n].setdefault(unit, []).append((at[lang], count))
+        for n, own in enumerate(by):
+            pairs = [p for rows in own.values() for p in rows]
+            lang, count = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], float)
+            total = np.bincount(lang, count, len(langs)) + 0.5 * len(own) + 1
+            model.base[n] = np.log(0.5) - np.log(total)
+            model.units.append({unit: i for i, unit in enumerate(own)})
+            model.start.append(np.cumsum([0] + [len(rows) for rows in own.values()]))
+            model.lang.append(lang)
+            model.gain.append(np.log(count + 0.5) - np.log(0.5))
+        return model
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """For each word its log frequencies, or their mean over its known n-grams of the greatest length that has any."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = list(enumerate(words))
+        for n in (0, *range(MAX_N, 0, -1)):
+            get, owner, unit, rest = self.units[n].get, [], [], []
+            for i, word in left:
+                known = [u for g in ([word] if n == 0 else ngrams(word, n)) if (u := get(g)) is not None]
+                if known:
+                    owner += [i] * len(known)
+                    unit += known
+                else:
+                    rest.append((i, word))
+            if unit:
+                who, which = np.array(owner), np.array(unit)
+                own, share = np.unique(who), 1 / np.bincount(who, minlength=len(words))[who]
+                first, size = self.start[n][which], np.diff(self.start[n])[which]
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out[own] = self.base[n]
+                np.add.at(out, (np.repeat(who, size), self.lang[n][at]), self.gain[n][at] * np.repeat(share, size))
+            left = rest
+        return out
+
+
+class Scorer:
+    """Predictions of a task, which remembers the scores of words."""
+
+    def __init__(self, model: Model, room: int = 1 << 22):
+        self.model, self.code = model, {}
+        self.most = max(1024, room // max(len(model.langs), 1))
+        self.scores = np.zeros((0, len(model.langs)))
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.code]
+        if len(self.code) + len(new) > self.most:
+            self.code, self.scores, new = {}, self.scores[:0], list(words)
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        if self.code and max(len(self.code), 1) > len(self.scores):
+            bigger = np.zeros((2 * len(self.code), self.scores.shape[1]))
+            bigger[: len(self.scores)] = self.scores
+            self.scores = bigger
+        if new:
+            self.scores[len(self.code) - len(new) : len(self.code)] = self.model.word_scores(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its share of the likelihood, tempered to the mean evidence of a word; ties go to the lesser name."""
-        words = words_of(text)
-        if not words and not any(map(str.isalpha, text or "")) or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for w in words:
-            if (row := cache.get(w)) is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                row = cache[w] = self.word_score(w)
-            total += row
-        mean = total / max(len(words), 1) * min(len(words), 8)
-        share = np.exp(mean - mean.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+        langs, out, at = self.model.langs, [], 0
+        own = [words_of(t) for t in texts]
+        sums = np.zeros((len(texts), len(langs)))
+        while at < len(own):  # some hundred thousand words at a time, or a text
+            to, n = at + 1, len(own[at])
+            while to < len(own) and n + len(own[to]) <= 1 << 17:
+                n += len(own[to])
+                to += 1
+            flat = [w for words in own[at:to] for w in words]
+            self.learn(set(flat))
+            rows = self.scores[np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))]
+            np.add.at(sums, np.repeat(np.arange(at, to), [len(w) for w in own[at:to]]), rows)
+            at = to
+        for text, words, total in zip(texts, own, sums, strict=True):
+            if not langs or not words and not any(map(str.isalpha, text or "")):
+                out.append((UNKNOWN, 0.0))
+                continue
+            mean = total / max(len(words), 1) * min(len(words), 8)
+            share = np.exp(mean - mean.max())
+            best = int(share.argmax())
+            out.append((langs[best], float(share[best] / share.sum())))
+        return out
 
 
 def _count_units():
@@ -104,29 +157,30 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = 4_000, units: int = 20_000) -> Model:
+#: More languages than this are an error.
+LANGUAGES = 10_000
+
+
+def train(docs: DataFrame, sample_docs: int = 4_000, units: int = 20_000, all_units: int = 2_000_000) -> Model:
     """Fit on a bounded sample of labelled documents outside the held-out third.
 
-    The 1,000 most frequent languages are learned. ``sample_docs`` bounds the expected number of training documents, the same for each language; a document is chosen by the
-    hash of its id and text, so any run chooses alike. ``units`` bounds the words and the n-grams of each length that a
-    language keeps, the most frequent ones, and with it the model that is sent to the executors.
+    ``sample_docs`` bounds the expected number of training documents, the same for each language (and at least one); a document is
+    chosen by the hash of its id and text, so any run chooses alike. ``units`` bounds the words and the n-grams of each length that a
+    language keeps, the most frequent ones (ties: the lesser unit), and ``all_units`` those of all languages together, and with them the model that
+    is sent to the executors. An empty table gives a model without languages; more than ``LANGUAGES`` languages are an error.
     """
     rows = keyed(docs, "doc_id", "text", "lang", doc_id="long").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1_000).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
-        return Model([], [{} for _ in range(MAX_N + 1)])
+        return Model.fit([])
     each = max(1, sample_docs // len(sizes))
-    rate = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes.items()], "l string, rate double")
+    chosen = rows.join(F.broadcast(rates), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < F.col("rate") * 1_000_000_000)
     counts = map_rows(chosen.select("lang", "text"), _count_units, "lang string, n int, unit string, count long").groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
-    counts = materialise(counts.where("count > 1 or n > 0"), "units")
-    # the threshold of each language and length: the count of its units-th most frequent unit, from a histogram of counts
-    from pyspark.sql import Window
-
-    ranked = counts.groupBy("lang", "n", "count").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("lang", "n").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)
-    floors = ranked.withColumn("above", F.sum("k").over(w)).where(F.col("above") <= units).groupBy("lang", "n").agg(F.min("count").alias("floor"))
-    kept = counts.join(F.broadcast(floors), ["lang", "n"]).where("count >= floor").select("lang", "n", "unit", "count").collect()
+    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
+    kept = counts.withColumn("rank", rank).where(F.col("rank") <= min(units, max(1, all_units // len(sizes)))).select("lang", "n", "unit", "count").collect()
     return Model.fit(sorted(map(tuple, kept)))
 
 
@@ -134,15 +188,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
     Text alone decides. ``lang_pred`` is ``und`` with score 0 where the text is null, empty or has no letter, or where nothing
-    was learned. Null ids are never held out; repeated rows each get their row; other columns are ignored.
+    was learned. Null ids are never held out; repeated rows each get their row; other columns are ignored; an empty table gives an
+    empty result; a text of any length is read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x (MAX_N + 1) x units
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``all_units`` units for each of five tables
 
     def make():
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(shared.value)
 
         def step(cols: dict[str, list]) -> dict[str, list]:
-            found = [shared.value.predict(t, cache) for t in cols["text"]]
+            found = scorer.predict(cols["text"])
             return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
         return step
@@ -154,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def filter_languages(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with at least ``min_score``, columns unchanged but for ``lang``.
 
-    ``lang`` becomes the predicted language. The prediction runs beside the other columns, so no join is needed.
+    ``lang`` becomes the predicted language. Texts that are null or without letters go; repeated rows stay; an empty table stays empty. The prediction runs beside the other columns, so no join is needed.
     """
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,9 +217,9 @@ def filter_languages(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [shared.value.predict(t, cache) for t in batch.column("text").to_pylist()]
+            found = scorer.predict(batch.column("text").to_pylist())
             keep = pa.array([f[0] != UNKNOWN and f[1] >= min_score for f in found])
             at = batch.schema.get_field_index("lang")
             yield batch.set_column(at, batch.schema.field(at), pa.array([f[0] for f in found], batch.schema.field(at).type)).filter(keep)

@@ -24,9 +24,8 @@ def test_stages_in_turn(spark):
     model = langid.train(docs)
     kept = materialise(stage["language_id"](spark, docs, ""), "t")
     assert kept.columns == COLUMNS
-    want = {}
-    for r in docs.collect():
-        lang, score = model.predict(r.text, {})
+    want, rows = {}, docs.collect()
+    for r, (lang, score) in zip(rows, langid.Scorer(model).predict([r.text for r in rows]), strict=True):
         if lang != "und" and score >= 0.5:
             want[r.doc_id] = (r.text, lang)
     assert {r.doc_id: (r.text, r.lang) for r in kept.collect()} == want and len(want) > 0.9 * docs.count()

@@ -57,8 +57,8 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_backs_off_and_edges(spark):
     model = langid.Model.fit([("x", 0, "hello", 5), ("y", 0, "bonjour", 5), *(("x", n, g, 3) for n in range(1, 5) for g in langid.ngrams("hello", n)), *(("y", n, g, 3) for n in range(1, 5) for g in langid.ngrams("bonjour", n))])
-    assert model.predict("hello", {})[0] == "x" and model.predict("jourbon", {})[0] == "y" and model.predict("zzhell", {})[0] == "x"
-    assert model.predict("12 !", {}) == ("und", 0.0) and model.predict(None, {}) == ("und", 0.0)
+    assert [p[0] for p in langid.Scorer(model).predict(["hello", "jourbon", "zzhell"])] == ["x", "y", "x"]
+    assert langid.Scorer(model).predict(["12 !", None]) == [("und", 0.0)] * 2 and langid.Scorer(langid.Model.fit([])).predict(["hello"]) == [("und", 0.0)]
     docs = odd_docs(spark)
     out = langid.identify(docs, langid.train(docs)).collect()
     assert len(out) == len(odd_rows()) and {r.lang_pred for r in out} <= {"en", "de", "und"} and all(0 <= r.score <= 1 for r in out)
@@ -67,6 +67,39 @@ def test_language_backs_off_and_edges(spark):
     assert langid.filter_languages(docs).columns == docs.columns
 
 
+def test_language_by_plain_backoff():
+    """Predictions against sums over dictionaries, word by word."""
+    rng = random.Random(13)
+    letters = {"a": "abcde", "b": "cdefg", "c": "éßxyz"}
+    text = lambda pool, k: " ".join("".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(k))
+    counts = Counter()
+    for lang, pool in letters.items():
+        for w in text(pool, 200).split():
+            counts[lang, 0, w] += 1
+            for n in range(1, 5):
+                for g in langid.ngrams(w, n):
+                    counts[lang, n, g] += 1
+    rows = [(*k, c) for k, c in counts.items()]
+    units = [{u for _, m, u, _ in rows if m == n} for n in range(5)]
+    total = {(lang, n): sum(c for ll, m, _, c in rows if (ll, m) == (lang, n)) + 0.5 * len(units[n]) + 1 for lang in letters for n in range(5)}
+    log = lambda lang, n, u: math.log((counts[lang, n, u] + 0.5) / total[lang, n])
+    texts = [text(letters[rng.choice("abc")] + "q", rng.randrange(0, 30)) for _ in range(150)] + [None, "", "42", "q" * 3000]
+    got = langid.Scorer(langid.Model.fit(rows), room=60).predict(texts)
+    for t, (lang, score) in zip(texts, got, strict=True):
+        words, sums = langid.words_of(t), dict.fromkeys(letters, 0.0)
+        for w in words:
+            known = next(([g for g in gs if g in units[n]] for n, gs in [(0, [w])] + [(n, langid.ngrams(w, n)) for n in (4, 3, 2, 1)] if any(g in units[n] for g in gs)), [])
+            n = 0 if known == [w] and w in units[0] else len(known[0]) if known else 0
+            for name in letters:
+                sums[name] += sum(log(name, n, g) for g in known) / len(known) if known else 0.0
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        mean = {name: v / len(words) * min(len(words), 8) for name, v in sums.items()}
+        share = {name: math.exp(v - max(mean.values())) for name, v in mean.items()}
+        assert mean[lang] == pytest.approx(max(mean.values())) and score == pytest.approx(share[lang] / sum(share.values()))
+
+
 def test_packing_round_trip(spark):
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
