@@ -61,14 +61,16 @@ FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
 URL_FILTER = """
-WITH e(key, listed, action) AS (VALUES {entries}),
-o AS (SELECT key, listed, max((action = 'block')::INT) AS o FROM (SELECT key, listed::TIMESTAMP AS listed, action FROM e) GROUP BY ALL),
-c AS (SELECT *, lag(o, 1, 0) OVER (PARTITION BY key ORDER BY listed) AS b FROM o),
-s AS (SELECT key, listed AS since, lead(listed) OVER (PARTITION BY key ORDER BY listed) AS until, o FROM c WHERE o <> b),
-p AS (SELECT page_id, url, TIMESTAMP '{first} 00:00:00' + INTERVAL 1 DAY * (page_id % 366)::INT AS t,
+WITH p AS (SELECT page_id, url, TIMESTAMP '{first} 00:00:00' + INTERVAL 1 DAY * (page_id % 366)::INT AS t,
         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.$', ''), '') AS host,
         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
-k AS (SELECT page_id, t, array_to_string(l[i:], '.') AS key FROM (SELECT *, string_split(host, '.') AS l FROM p), unnest(range(1, greatest(len(l), 2))) u(i)
+e AS (SELECT CASE WHEN page_id % 3 = 1 AND len(parts) > 0 THEN host || '/' || parts[1]
+        WHEN page_id % 3 = 2 AND len(string_split(host, '.')) > 2 AND NOT regexp_full_match(host, '[0-9.]+') THEN substr(host, instr(host, '.') + 1) ELSE host END AS key,
+        TIMESTAMP '{first} 00:00:00' + INTERVAL 1 DAY * (7 * page_id % 366)::INT AS listed, 13 * page_id % 5 < 3 AS blocks FROM p WHERE host IS NOT NULL),
+o AS (SELECT key, listed, max(blocks::INT) AS o FROM e GROUP BY ALL),
+c AS (SELECT *, lag(o, 1, 0) OVER (PARTITION BY key ORDER BY listed) AS b FROM o),
+s AS (SELECT key, listed AS since, lead(listed) OVER (PARTITION BY key ORDER BY listed) AS until, o FROM c WHERE o <> b),
+k AS (SELECT page_id, t, array_to_string(l[i:], '.') AS key FROM (SELECT *, CASE WHEN regexp_full_match(host, '[0-9]+(\\.[0-9]+){{3}}') THEN [host] ELSE string_split(host, '.') END AS l FROM p), unnest(range(1, greatest(len(l), 2))) u(i)
       UNION SELECT page_id, t, host || '/' || array_to_string(parts[:i], '/') FROM p, unnest(range(1, len(parts) + 1)) u(i)),
 h AS (SELECT page_id, count(*) AS n, max({{'n': length(key), 'key': key, 'since': since}}) AS best FROM k JOIN s USING (key) WHERE o = 1 AND t >= since AND (until IS NULL OR t < until) GROUP BY page_id)
 SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_active, coalesce(n, 0) > 0 AS blocked, best.key AS matched_key, strftime(best.since, '%Y-%m-%d') AS active_since

@@ -6,24 +6,11 @@ the intervals of the keys that its URL falls under: its host, all parent domains
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-#: The example list of the query: fixed values.
-ENTRIES = [
-    ("cheap-pills.example.com", "2024-01-10", "block"),
-    ("cheap-pills.example.com", "2024-05-01", "allow"),
-    ("cheap-pills.example.com", "2024-06-15", "block"),
-    ("spam-farm.example.org", "2024-02-01", "block"),
-    ("spam-farm.example.org", "2024-09-01", "allow"),
-    ("tionsh.example.net", "2024-03-01", "block"),
-    ("tionsh.example.net", "2024-03-20", "allow"),
-    ("thther.example.org/en", "2024-04-01", "block"),
-    ("m.ththth.example.net/en", "2024-01-01", "block"),
-    ("m.ththth.example.net/en", "2024-07-01", "allow"),
-]
 #: Fetch times of the query: pages carry none, so page_id counts days from here, modulo 366.
 FIRST_DAY = "2024-01-01"
 
@@ -31,9 +18,10 @@ FIRST_DAY = "2024-01-01"
 def intervals(entries: DataFrame) -> DataFrame:
     """``(key, since, until)``: a block lasts until the next allow of its key; repeated blocks extend, not restart.
 
-    Entries of one key and date: the block wins. Entries with a null are ignored.
+    Entries of one key and date: the block wins. Entries with a null are ignored. The host of a key counts in lower case, its path as it is.
     """
-    e = entries.select(F.lower("key").alias("key"), F.col("listed").cast("timestamp").alias("listed"), F.col("action"))
+    host = F.substring_index("key", "/", 1)
+    e = entries.select(F.concat(F.lower(host), F.expr("substr(key, length(substring_index(key, '/', 1)) + 1)")).alias("key"), F.col("listed").cast("timestamp").alias("listed"), F.col("action"))
     e = e.where("key is not null and listed is not null and action is not null")
     e = e.groupBy("key", "listed").agg(F.max((F.col("action") == "block").cast("int")).alias("on"))
     w = Window.partitionBy("key").orderBy("listed")
@@ -41,12 +29,18 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.withColumn("until", F.lead("listed").over(w)).where("on = 1").select("key", F.col("listed").alias("since"), "until")
 
 
-def keys_of(url: F.Column) -> tuple[F.Column, F.Column]:
-    """Host of a URL, lower case without user, port and last dot, and all keys that it falls under."""
+def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
+    """Host of a URL, lower case without user, port and last dot, and the parts of its path."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", "")
     host = F.when(host != "", host)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
+    return host, F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def keys_of(url: F.Column) -> tuple[F.Column, F.Column]:
+    """Host of a URL and all keys that it falls under; the parts of a numeric address are no domains."""
+    host, parts = host_and_path(url)
+    labels = F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return host, F.array_distinct(F.concat(domains, prefixes))
@@ -57,7 +51,8 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, page: str = "page_i
 
     ``n_active`` counts the entries active at fetch time; the longest of their keys is ``matched_key``, with the start of its interval.
     A null or unparsable URL has a null host, and it and a null fetch time match nothing. Each distinct pair of URL and time is
-    evaluated once, so repeated rows cost a join and all get their row; an empty table gives an empty result. Intervals are
+    evaluated once, so repeated rows cost a join and all get their row; null ids stay null; an empty table gives an empty result; other
+    columns are ignored, whatever their names. Intervals are
     broadcast if there are at most ``small``; otherwise both joins are shuffles whose skewed keys Spark splits.
     """
     rows = captures.select(F.col(f"`{page}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("_url"), F.col(f"`{fetched}`").cast("timestamp").alias("_at"))
@@ -72,5 +67,18 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, page: str = "page_i
     return out.select("page_id", keys_of(F.col("_url"))[0].alias("host"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.coalesce(F.col("n_active") > 0, F.lit(False)).alias("blocked"), "matched_key", F.date_format("active_since", "yyyy-MM-dd").alias("active_since"))
 
 
-def example_entries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTRIES, "key string, listed string, action string")
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """A dated list for tables that hold none: an entry for each page (page_id, url) with a host.
+
+    By page_id modulo 3 the key is the page's host, its host with the first part of its path (or the host), or its host without the
+    first label (or the host, if it has two). The entry is dated 7 page_id days after ``FIRST_DAY``, modulo 366, and allows
+    where 13 page_id leaves 3 or 4 modulo 5.
+    """
+    host, parts = host_and_path(F.col("url"))
+    p = pages.select("page_id", host.alias("host"), parts.alias("parts")).where("host is not null")
+    key = F.expr("""
+      CASE WHEN page_id % 3 = 1 AND size(parts) > 0 THEN concat(host, '/', parts[0])
+           WHEN page_id % 3 = 2 AND size(split(host, '[.]')) > 2 AND NOT host RLIKE '^[0-9.]+$' THEN substr(host, instr(host, '.') + 1)
+           ELSE host END""")
+    listed = F.expr(f"date_add(date '{FIRST_DAY}', cast(7 * page_id % 366 as int))").cast("string")
+    return p.select(key.alias("key"), listed.alias("listed"), F.expr("if(13 * page_id % 5 < 3, 'block', 'allow')").alias("action"))
