@@ -1,8 +1,9 @@
 """Sum-of-squares online packing of tokenised documents into windows.
 
 The open windows of a task are counted by fill level in an array. Each document goes to the level that leaves the least sum
-of squared counts, a new window being level 0. Documents longer than a window first fill whole windows. Windows still open
-when a task ends are re-cut into full ones, so that a task pads at most its last window.
+of squared counts, a new window being level 0. Documents longer than a window first fill whole windows. When a task ends, the pieces
+of the windows still open are placed anew by the same rule, the longest first, as long as that fills windows; what is open then is re-cut
+into full ones, so that a task pads at most its last window.
 """
 
 from __future__ import annotations
@@ -108,13 +109,21 @@ class Levels:
         return None
 
     def leftovers(self) -> list[list]:
-        """The open windows: those at a power of two as they are, the others re-cut into full ones and one remainder."""
-        done, loose = [], []
+        """The open windows: their pieces placed anew as long as that fills some, then those at a power of two as they are, the others re-cut."""
+        done, last = [], self
+        while True:
+            pieces = sorted((p for windows in last.open for w in windows for p in w), key=lambda p: -len(p[2]))
+            again = Levels(self.window)
+            filled = [full for p in pieces if (full := again.place(p, len(p[2]) // 4)) is not None]
+            if not filled:
+                break
+            done, last = done + filled, again
+        self.replaced, loose = len(done), []
         for level in range(1, self.window):
             if level & (level - 1) == 0:
-                done += self.open[level]
+                done += last.open[level]
             else:
-                loose += [p for pieces in self.open[level] for p in pieces]
+                loose += [p for pieces in last.open[level] for p in pieces]
         fill, cur = 0, []
         for row, start, ids in loose:
             while ids:
@@ -168,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A null or empty text is its end id alone. Repeated rows are packed each for itself, a null id stays null, other columns
-    are ignored and an empty table gives no pieces. Windows never span tasks: what a task holds in memory is its open
+    are ignored and an empty table gives no pieces. A text of any length is encoded whole and cut into windows. Windows never span tasks: what a task holds in memory is its open
     windows, whose number the sum of squares keeps far below the number of documents.
     """
     from .common import bounded_batches

@@ -151,6 +151,26 @@ def test_levels_follow_the_sum_of_squares():
         assert all(levels.counts[i] == counts[i] == len(levels.open[i]) for i in range(1, 16))
 
 
+def test_leftovers_lose_nothing_and_pad_little():
+    rng = random.Random(7)
+    levels, full, sizes = packing.Levels(), [], {}
+    for k in range(4000):
+        sizes[k] = min(1023, int(rng.lognormvariate(5.5, 1)) + 1)
+        if (done := levels.place((k, 0, bytes(4 * sizes[k])), sizes[k])) is not None:
+            full.append(done)
+    before = len(full)
+    rest = levels.leftovers()
+    got = Counter()
+    for pieces in full + rest:
+        fill = sum(len(ids) // 4 for _, _, ids in pieces)
+        assert fill <= 1024
+        for k, _, ids in pieces:
+            got[k] += len(ids) // 4
+    assert got == Counter(sizes)
+    short = [f for f in (sum(len(ids) // 4 for _, _, ids in pieces) for pieces in rest) if f & (f - 1)]  # neither full nor at a power of two
+    assert len(short) <= 1 and levels.replaced > 50 and before + levels.replaced > 0.7 * len(full + rest)
+
+
 def plain_base(text):
     spans = []
     for kind, pattern, ok in (("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)):
