@@ -43,7 +43,7 @@ class Sizes:
     def __init__(self, docs: DataFrame):
         self.documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.block = min(32 << 20, max(2 << 20, size >> 12))
-        self.bits = min(17, max(6, (size >> 19).bit_length()))
+        self.bits = min(17, max(8, (size >> 23).bit_length()))  # a block sends a row to each bucket, so these are large
         self.tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
 
 

@@ -148,8 +148,7 @@ def _frequencies(blocks: DataFrame, sizes: Sizes) -> DataFrame:
                 keys, counts = np.unique(all_shingles(Block(packed).texts)[0], return_counts=True)
                 yield request_rows(list(send(number, keys, counts, sizes.bits)))
 
-    asked = materialise(blocks.mapInArrow(run, SCHEMA), "shingles")
-    return materialise(answered(asked, sizes, lambda total, count: steps_of(total)), "frequencies")
+    return materialise(answered(blocks.mapInArrow(run, SCHEMA), sizes, lambda total, count: steps_of(total)), "frequencies")
 
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("sample", pa.list_(pa.int16())), ("text", pa.binary()), ("steps", pa.binary())])

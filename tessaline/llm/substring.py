@@ -143,13 +143,14 @@ def dedup_words(docs: DataFrame, width: int = WORDS, first: int = FIRST) -> Data
             asked = blocks.mapInArrow(alone, SCHEMA)
         else:
             asked = each_block(blocks, known, sizes, step, SCHEMA)
-        asked = materialise(asked, f"level{level}")
+        if level or len(steps) == 1:  # read twice: its requests and its state
+            asked = materialise(asked, f"level{level}")
         if level + 1 < len(steps):
             known = answered(asked, sizes, lambda total, count: ((total > 0) | (count > 1)).astype(np.uint8))
         else:
             known = by_bucket(asked, sizes, _least)
-        known = materialise(asked.where("kind = 1").unionByName(known), f"known{level}")
-        if asked.where("kind = 0").isEmpty():  # no candidate survives
+        known = materialise(asked.where("kind = 1").unionByName(known) if level or len(steps) == 1 else known, f"known{level}")
+        if known.where("kind = 2").isEmpty():  # no candidate survives
             known = known.where("kind < 0")
             break
     return each_block(blocks, known, sizes, _finisher(width, first), "doc_id long, n_words long, n_removed long, kept_sha256 string")

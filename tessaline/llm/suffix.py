@@ -219,8 +219,7 @@ def dedup_bytes(docs: DataFrame, width: int = BYTES, gram: int = GRAM) -> DataFr
             for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
                 yield rows(_grams(number, Block(packed), width, gram, sizes.bits))
 
-    asked = materialise(blocks.mapInArrow(first, SCHEMA), "grams")
-    known = materialise(answered(asked, sizes, lambda total, count: np.where(count > 1, 1 + (total > HOT), 0).astype(np.uint8)), "open")
+    known = materialise(answered(blocks.mapInArrow(first, SCHEMA), sizes, lambda total, count: np.where(count > 1, 1 + (total > HOT), 0).astype(np.uint8)), "open")
     sent = materialise(each_block(blocks, known, sizes, _sorter(width, gram, sizes.bits), SCHEMA), "sorted")
     entries = sent.where(f"kind = {ENTRY}")
     if not sent.where(f"kind = {WINDOW}").isEmpty():
