@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str = "step") -> DataFrame:
+    """Like ``materialise``, as a table bucketed by ``key``, which grouped operators then read without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    rows.option("path", f"{shared_dir(spark)}/tessaline/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that ``materialise`` has written in this session's folder, once no result needs them any more."""
     jvm = spark.sparkContext._jvm
