@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import bucketed
 from .common import bounded_batches, keyed
 
 U64 = np.uint64
@@ -44,7 +44,7 @@ class Sizes:
         self.documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.block = min(32 << 20, max(2 << 20, size >> 12))
         self.bits = min(17, max(8, (size >> 23).bit_length()))  # a block sends a row to each bucket, so these are large
-        self.tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+        self.tasks = min(100_000, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26))
 
 
 class Block:
@@ -65,14 +65,17 @@ class Block:
         import zstandard
 
         head = [np.array([len(ids)], "<i8"), np.array([i or 0 for i in ids], "<i8"), np.array([len(t) for t in texts], "<i8"), np.array([i is None for i in ids], np.uint8)]
-        return zstandard.compress(b"".join([*(h.tobytes() for h in head), *texts]), 1)
+        return zstandard.compress(b"".join([*(h.tobytes() for h in head), *texts]), 3)
 
     def doc_ids(self) -> list[int | None]:
         return [None if none else i for i, none in zip(self.ids.tolist(), self.null.tolist(), strict=True)]
 
 
 def blocked(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """``docs`` (doc_id, text) in blocks: a row for each, its number and its packed documents. A block holds a document at least."""
+    """``docs`` (doc_id, text) in blocks: a row for each, its number and its packed documents. A block holds a document at least.
+
+    The table is bucketed by the number, so the texts are exchanged once, however many steps read them.
+    """
     bounded_batches(docs.sparkSession)
     limit = sizes.block
 
@@ -90,7 +93,7 @@ def blocked(docs: DataFrame, sizes: Sizes) -> DataFrame:
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([Block.pack(ids, texts)], pa.binary())], schema=schema)
 
-    return materialise(keyed(docs, "doc_id", "text", doc_id="long").mapInArrow(run, "block long, docs binary"), "blocks")
+    return bucketed(keyed(docs, "doc_id", "text", doc_id="long").mapInArrow(run, "block long, docs binary"), "block", sizes.tasks, "blocks")
 
 
 def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,5 +184,4 @@ def each_block(blocks: DataFrame, known: DataFrame, sizes: Sizes, run: Callable[
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left.column("block")[0].as_py(), Block(left.column("docs")[0].as_py()), right)
 
-    dealt = lambda df: df.repartition(sizes.tasks, "block").groupBy("block")
-    return dealt(blocks).cogroup(dealt(known)).applyInArrow(both, schema)
+    return blocks.groupBy("block").cogroup(known.repartition(sizes.tasks, "block").groupBy("block")).applyInArrow(both, schema)
