@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from ..storage import materialise
-from .anchors import BYTE, CHUNK, Hashes, anchors
-from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, reply, rows, send, starts_of, state
+from .anchors import BYTE, CHUNK, anchors
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, mix, reply, rows, send, starts_of, state
 from .common import keyed
 
 BYTES, GRAM = 50, 24
 #: Strings with more entries than this have their windows dealt one by one.
-HOT = 1024
+HOT = 16_384
 #: What a step sends besides requests (0), state (1) and replies (2): entries to sort, hashes of windows of hot strings and their starts.
 ENTRY, WINDOW, LATER = 3, 4, 5
 _HEAD = "<qqIH"
@@ -101,16 +102,21 @@ def _payloads(kind: int, number: int, data: np.ndarray, bucket: np.ndarray, doc:
     raw, made, last = data.tobytes(), [], None
     for b, d, s, m in zip(bucket[o].tolist(), doc[o].tolist(), lo[o].tolist(), more[o].tolist(), strict=True):
         if b != last and made:
-            yield kind, number, last, b"".join(made)
+            yield kind, number, last, zstandard.compress(b"".join(made), 1)
             made = []
         last = b
         made.append(struct.pack(_HEAD, d, number, s, m) + raw[s : s + m + width])
     if made:
-        yield kind, number, last, b"".join(made)
+        yield kind, number, last, zstandard.compress(b"".join(made), 1)
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    return Hashes(BYTE[data]).spans(starts, starts + width) if len(starts) else np.zeros(0, U64)
+    """A hash of the window at each start, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight, h = np.ndarray((len(data) + 9,), ">u8", padded, strides=(1,)), np.zeros(len(starts), U64)
+    for at in range(0, width, 8):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + (eight[starts + at].astype(U64) >> U64(8 * max(0, at + 8 - width))))
+    return h
 
 
 def _grams(number: int, block: Block, width: int, gram: int, bits: int) -> list[tuple]:
@@ -162,7 +168,7 @@ def _hot(width: int, bits: int):
 
 def _settler(width: int):
     def settle(table: pa.Table) -> pa.Table:
-        buffer, at, heads, places = b"".join(table.column("payload").to_pylist()), 0, [], []
+        buffer, at, heads, places = b"".join(map(zstandard.decompress, table.column("payload").to_pylist())), 0, [], []
         while at < len(buffer):
             heads.append(head := struct.unpack_from(_HEAD, buffer, at))
             places.append(at + _HEAD_SIZE)
