@@ -32,11 +32,16 @@ def chunk_step(max_length: int, overlapping: bool) -> int:
 def chunks(seq: Column, max_length: int, overlapping: bool = False) -> Column:
     """Windows of a sequence; the last one goes if the one before contains it. An empty sequence has none."""
     step = chunk_step(max_length, overlapping)
-    starts = F.sequence(F.lit(1), F.length(seq), F.lit(step))
-    parts = F.transform(starts, lambda i: F.substr(seq, i, F.lit(max_length)))
-    last, before, n = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2)), F.size(parts)
-    trimmed = F.when((n > 1) & F.contains(before, last), F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
-    return F.when(F.length(seq) > 0, trimmed).otherwise(F.array().cast("array<string>"))
+    # one pass cuts steps; a window is the steps that it spans, so no window walks the sequence from its start
+    steps = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    span = -(-max_length // step)
+    wide = lambda ps: F.transform(ps, lambda _, i: F.left(F.array_join(F.slice(ps, i + 1, F.lit(span)), ""), F.lit(max_length)))
+
+    def trimmed(parts: Column) -> Column:
+        n = F.size(parts)
+        return F.when((n > 1) & F.contains(F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))), F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+
+    return _let(_let(steps, wide) if span > 1 else steps, trimmed)
 
 
 def motif_classes(motif: str) -> list[str]:
@@ -108,16 +113,26 @@ def trim(seq: Column, start: Column, length: Column) -> Column:
 # --- aligned pairs -------------------------------------------------------------------------------------------------
 
 
-def aligned_columns(query: Column, target: Column) -> Column:
-    """0-based columns in which both residues are upper case; an error where only one of two residues is."""
+def _aligned(query: Column, target: Column) -> Column:
+    """``array<struct<i, same>>`` of the aligned columns; both sequences are cut into characters once."""
 
-    def state(i: Column) -> Column:
-        q, t = F.substr(query, i + 1, F.lit(1)), F.substr(target, i + 1, F.lit(1))
+    def state(q: Column, t: Column) -> Column:
         up = lambda c: c.rlike("^[A-Z]$")
         letters = q.rlike("^[A-Za-z]$") & t.rlike("^[A-Za-z]$")
         return F.when(letters & (up(q) != up(t)), F.raise_error(F.lit("mixed case in an aligned column")).cast("boolean")).otherwise(up(q) & up(t))
 
-    return F.filter(F.sequence(F.lit(0), F.length(query) - 1), state)
+    pairs = F.arrays_zip(_letters(query).alias("q"), _letters(target).alias("t"))
+    own = F.transform(pairs, lambda p, i: F.when(state(F.coalesce(p["q"], F.lit("")), F.coalesce(p["t"], F.lit(""))), F.struct(i.alias("i"), (p["q"] == p["t"]).alias("same"))))
+    return F.filter(own, lambda c: c.isNotNull())
+
+
+def aligned_columns(query: Column, target: Column) -> Column:
+    """0-based columns in which both residues are upper case; an error where only one of two residues is."""
+    return F.transform(_aligned(query, target), lambda c: c["i"])
+
+
+def _letters(seq: Column) -> Column:
+    return F.regexp_extract_all(seq, F.lit("(?s)."), F.lit(0))
 
 
 def sequence_position(aligned: Column, column: Column) -> Column:
@@ -129,9 +144,8 @@ def sequence_position(aligned: Column, column: Column) -> Column:
 
 def percent_identity(query: Column, target: Column) -> Column:
     """Identical among aligned columns, in percent, rounded half up."""
-    cols = aligned_columns(query, target)
-    same = F.size(F.filter(cols, lambda i: F.substr(query, i + 1, F.lit(1)) == F.substr(target, i + 1, F.lit(1))))
-    return F.floor(F.when(F.size(cols) > 0, same * 100.0 / F.size(cols)) + 0.5).cast("int")
+    share = lambda cs: F.floor(F.when(F.size(cs) > 0, F.size(F.filter(cs, lambda c: c["same"])) * 100.0 / F.size(cs)) + 0.5).cast("int")
+    return _let(_aligned(query, target), share)
 
 
 def residue_count(aligned: Column) -> Column:

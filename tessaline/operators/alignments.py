@@ -137,11 +137,16 @@ def trim_targets(best: DataFrame, seqs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def trim_by_plddt(intervals: DataFrame, plddt: DataFrame, threshold: float, by: Sequence[str] = ("query",)) -> DataFrame:
-    """Interval ends moved inwards to residues of ``plddt`` (*by, position, plddt) at the threshold; null if none reaches it."""
+    """Interval ends moved inwards to residues of ``plddt`` (*by, position, plddt) at the threshold; null if none reaches it.
+
+    Equal interval rows are trimmed once and returned as often as they were given.
+    """
     good = plddt.where(F.col("plddt") >= threshold).select(*(F.col(b).alias(f"_{b}") for b in by), "position")
     keys = [F.col(b) == F.col(f"_{b}") for b in by]
-    hit = intervals.withColumn("_row", F.struct(*intervals.columns)).join(good, [*keys, F.col("position").between(F.col("qstart"), F.col("qend"))], "left")
-    return hit.groupBy("_row").agg(F.min("position").alias("new_qstart"), F.max("position").alias("new_qend")).select("_row.*", "new_qstart", "new_qend")
+    rows = intervals.groupBy(*intervals.columns).agg(F.count("*").alias("_copies"))
+    hit = rows.withColumn("_row", F.struct(*intervals.columns)).join(good, [*keys, F.col("position").between(F.col("qstart"), F.col("qend"))], "left")
+    ends = hit.groupBy("_row", "_copies").agg(F.min("position").alias("new_qstart"), F.max("position").alias("new_qend"))
+    return ends.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*", "new_qstart", "new_qend")
 
 
 def same_rows(one: DataFrame, two: DataFrame) -> bool:

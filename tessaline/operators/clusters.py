@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -69,17 +69,35 @@ def cover(members: list, neighbours: dict) -> dict:
     return rep
 
 
-def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True) -> DataFrame:
+def _pick(open_pairs: DataFrame) -> DataFrame:
+    """(cluster_rep, cluster_member) of every pick that the greedy cover is sure to make from here on.
+
+    Counts only fall, and a pick changes counts at most two steps away, so a member ahead of all others within two steps is
+    picked before any of them. Such picks are over two steps apart and claim different members.
+    """
+    both = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg((-F.count("*") - 1).alias("s")).select("a", F.struct("s", F.col("a").alias("m")).alias("best"))
+    near = first
+    for _ in range(2):
+        offers = both.join(near.select(F.col("a").alias("b"), "best"), "b").select("a", "best")
+        near = materialise(offers.unionByName(near).groupBy("a").agg(F.min("best").alias("best")), "ahead")
+    reps = near.where(F.col("best.m") == F.col("a")).select("a")
+    claimed = both.join(reps, "a").select(F.col("a").alias("cluster_rep"), F.col("b").alias("cluster_member"))
+    return claimed.unionByName(reps.select(F.col("a").alias("cluster_rep"), F.col("a").alias("cluster_member")))
+
+
+def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True, task_pairs: int = 2_000_000) -> DataFrame:
     """(cluster_rep, cluster_member) by greedy set cover, then members moved to representatives of strictly higher score.
 
-    A pick never affects another connected component, so components are covered in parallel; a component must fit one task.
+    A pick never affects another connected component, so components are covered in parallel, each in one task. As long as a
+    component has more than ``task_pairs`` pairs, all picks that no other can forestall are made by joins, which shrinks it; the
+    result is that of the sequential cover either way.
     """
-    scores = best_scores(pairs, query, target, score)
+    scores = materialise(best_scores(pairs, query, target, score), "scores")
     seen = pairs.select(F.col(query).alias("m")).unionByName(pairs.select(F.col(target).alias("m")))
     if all_inputs is not None:
         seen = seen.unionByName(all_inputs.select(F.col(all_inputs.columns[0]).alias("m")))
     seen = seen.where("m is not null").distinct()
-    comp = connected_components(scores, "a", "b")
     kind = dict(scores.dtypes)["a"]
 
     def claim(part: pd.DataFrame) -> pd.DataFrame:
@@ -90,9 +108,21 @@ def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "targe
         rep = cover(list(near), near)
         return pd.DataFrame({"cluster_rep": list(rep.values()), "cluster_member": list(rep)})
 
-    linked = scores.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
+    rest, picked = scores.select("a", "b"), []
+    while True:
+        comp = connected_components(rest, "a", "b")
+        linked = rest.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
+        if rest.count() <= task_pairs or (linked.groupBy("component").count().agg(F.max("count")).first()[0] or 0) <= task_pairs:
+            break
+        for _ in range(4):
+            picked.append(materialise(_pick(rest), "picked"))
+            gone = picked[-1].select(F.col("cluster_member").alias("a"))
+            rest = materialise(rest.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "rest")
     out = linked.groupBy("component").applyInPandas(claim, f"cluster_rep {kind}, cluster_member {kind}")
-    alone = seen.join(comp.select(F.col("node").alias("m")), "m", "left_anti")
+    for part in picked:
+        out = out.unionByName(part)
+    out = materialise(out, "covered")
+    alone = seen.join(out.select(F.col("cluster_member").alias("m")), "m", "left_anti")
     out = out.unionByName(alone.select(F.col("m").alias("cluster_rep"), F.col("m").alias("cluster_member")))
     return reassign_members(out, scores) if reassign else out
 
@@ -142,15 +172,23 @@ def merge_cluster_tables(one: DataFrame, two: DataFrame, order: str = "ordinal",
     return joined.select(F.coalesce(f"_1_{outer}", name).alias(outer), name.alias(key), *(F.coalesce(f"_1_{c}", name).alias(c) for c in extra if c not in clash), *(F.coalesce(c, F.when(F.col("_hit").isNull(), F.lit(missing))).alias(c) for c in rest))
 
 
+def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order: sorted within ranges of it, which are numbered one after the other."""
+    ranges = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_own", own).join(before.drop("_n"), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def rank_clusters(clusters: DataFrame, rep: str = "cluster_rep", order: str = "ordinal") -> DataFrame:
     """``cluster_ID`` (1 is the largest; of equals the last in the input first) and ``cluster_count`` for every member.
 
-    Only one row a cluster is sorted as a whole.
+    Only one row a cluster is sorted, in ranges.
     """
     if "cluster_ID" in clusters.columns:
         return clusters
     sizes = clusters.groupBy(rep).agg(F.count("*").alias("cluster_count"), F.min(order).alias("_first"))
-    ranked = sizes.withColumn("cluster_ID", F.row_number().over(Window.orderBy(F.desc("cluster_count"), F.desc("_first")))).drop("_first")
+    ranked = _numbered(sizes, [F.desc("cluster_count"), F.desc("_first"), F.asc(rep)], "cluster_ID").drop("_first")
     return clusters.join(ranked, rep)
 
 
@@ -182,7 +220,7 @@ def super_clusters(clusters: DataFrame, alignments: DataFrame, linkage: float =
     comp = connected_components(links.unionByName(size.select(F.col("rep").alias("rq"), F.col("rep").alias("rt"))), "rq", "rt").select(F.col("node").alias("rep"), "component")
     named = comp.join(size, "rep")
     best = named.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("s"), F.col("rep").alias("rep"))).alias("b"), F.sum("n").alias("cluster_count")).select("component", F.col("b.rep").alias("super_rep"), "cluster_count")
-    ids = best.withColumn("cluster_ID", F.row_number().over(Window.orderBy(F.desc("cluster_count"), "super_rep")))
+    ids = _numbered(best, [F.desc("cluster_count"), F.asc("super_rep")], "cluster_ID")
     return m.join(comp, "rep").join(ids, "component").select("cluster_ID", "cluster_count", F.col("rep").alias("cluster_rep"), "super_rep", F.col("member").alias("cluster_member"))
 
 

@@ -112,15 +112,15 @@ def cache_anti_join(spark, sf):
 
 
 @bind("""
-WITH a AS (SELECT 'n' || c_nationkey AS outer_rep, 'c' || c_custkey AS struc_rep FROM customer WHERE c_custkey % 3 <> 0),
-b AS (SELECT 'c' || o_custkey AS struc_rep, 'o' || o_orderkey AS member FROM orders WHERE o_custkey % 5 <> 0)
+WITH a AS (SELECT 'n' || c_nationkey AS outer_rep, 'c' || c_custkey AS struc_rep FROM customer),
+b AS (SELECT 'c' || o_custkey AS struc_rep, 'o' || o_orderkey AS member FROM orders)
 SELECT coalesce(a.outer_rep, b.struc_rep) AS outer_rep, coalesce(a.struc_rep, b.struc_rep) AS struc_rep, coalesce(b.member, 'X') AS member
 FROM a FULL JOIN b ON a.struc_rep = b.struc_rep
 """)
 def merge_clusters(spark, sf):
     """JN-2."""
-    one = read(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("n"), "c_nationkey").alias("outer_rep"), F.concat(F.lit("c"), "c_custkey").alias("struc_rep"), F.col("c_custkey").alias("ordinal"))
-    two = read(spark, sf, "orders").where("o_custkey % 5 <> 0").select(F.concat(F.lit("c"), "o_custkey").alias("struc_rep"), F.concat(F.lit("o"), "o_orderkey").alias("member"))
+    one = read(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("outer_rep"), F.concat(F.lit("c"), "c_custkey").alias("struc_rep"), F.col("c_custkey").alias("ordinal"))
+    two = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("struc_rep"), F.concat(F.lit("o"), "o_orderkey").alias("member"))
     return C.merge_cluster_tables(one, two)
 
 
@@ -250,7 +250,7 @@ def taxa_counts(spark, sf):
 
 
 @bind("""
-SELECT l_suppkey AS cluster_rep, l_orderkey, n AS cluster_count, dense_rank() OVER (ORDER BY n DESC, m DESC)::INT AS "cluster_ID"
+SELECT l_suppkey AS cluster_rep, l_orderkey, n AS cluster_count, dense_rank() OVER (ORDER BY n DESC, m DESC)::BIGINT AS "cluster_ID"
 FROM (SELECT l_suppkey, l_orderkey, count(*) OVER (PARTITION BY l_suppkey) AS n, min(l_suppkey) OVER (PARTITION BY l_suppkey) AS m FROM lineitem)
 """)
 def cluster_rank(spark, sf):
@@ -282,14 +282,14 @@ def scaled_coverage(spark, sf):
 
 
 @bind("""
-WITH i AS (SELECT l_partkey % 200 AS target, l_linenumber AS s, l_linenumber + l_quantity::BIGINT % 40 AS e, l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber AS o FROM lineitem),
+WITH i AS (SELECT l_partkey AS target, l_linenumber AS s, l_linenumber + l_quantity::BIGINT % 40 AS e, l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber AS o FROM lineitem),
 b AS (SELECT target, s AS tstart, e AS tend, e - s + 1 AS n FROM i QUALIFY row_number() OVER (PARTITION BY target ORDER BY e - s DESC, o, s, e) = 1)
 SELECT target AS id, substring(text, tstart::BIGINT, n) AS seq FROM b JOIN documents ON doc_id = target WHERE length(text) >= tend
 """)
 def arg_extreme_trim(spark, sf):
     """AGG-11, JN-3, SEQ-8."""
     order = F.struct((F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("o"), F.col("l_linenumber").alias("s"), F.col("l_quantity").alias("q"))
-    rows = read(spark, sf, "lineitem").select((F.col("l_partkey") % 200).alias("target"), F.col("l_linenumber").alias("tstart"), (F.col("l_linenumber") + F.col("l_quantity").cast("long") % 40).alias("tend"), order.alias("ordinal"))
+    rows = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("tstart"), (F.col("l_linenumber") + F.col("l_quantity").cast("long") % 40).alias("tend"), order.alias("ordinal"))
     best = A.extreme_alignments(rows, shortest=False)
     seqs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
     fit = best.join(seqs.select(F.col("id").alias("target"), F.length("seq").alias("n")), "target").where("n >= tend").drop("n")
@@ -330,8 +330,10 @@ def multimer(spark, sf):
 
 
 @bind("""
-SELECT doc_id, substring(u, i, 3) AS match, i::INT AS start, (i + 2)::INT AS "end" FROM (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, unnest(range(1, length(text) - 1)) AS i FROM documents)
-WHERE regexp_matches(substring(u, i, 3), '^T[HI][ANERS]$')
+WITH d AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u FROM documents),
+p AS (SELECT doc_id, unnest(regexp_extract_all(u, 'T[HI][ANERS]')) AS match, unnest(regexp_split_to_array(u, 'T[HI][ANERS]')) AS before, unnest(range(1, len(regexp_split_to_array(u, 'T[HI][ANERS]')) + 1)) AS k FROM d),
+s AS (SELECT doc_id, match, (sum(length(before)) OVER (PARTITION BY doc_id ORDER BY k) + 3 * (k - 1) + 1)::INT AS start FROM p)
+SELECT doc_id, match, start, start + 2 AS "end" FROM s WHERE match IS NOT NULL
 """)
 def motif_find(spark, sf):
     """SEQ-6, SEQ-7."""
@@ -383,13 +385,13 @@ def extract_chains(spark, sf):
 
 
 @bind("""
-WITH d AS (SELECT l_partkey % 97 AS g, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_orderkey FROM lineitem WHERE l_discount >= 0.1),
+WITH d AS (SELECT l_partkey % 97 AS g, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_orderkey FROM lineitem),
 p AS (SELECT s_suppkey AS point, s_suppkey % 97 AS g FROM supplier)
 SELECT d.l_orderkey, d.g, s, e, point FROM d JOIN p ON d.g = p.g AND point % 100 BETWEEN s AND e
 """)
 def domains_range_join(spark, sf):
     """JN-10, FLT-7."""
-    d = read(spark, sf, "lineitem").where("l_discount >= 0.1").select((F.col("l_partkey") % 97).alias("g"), (F.col("l_linenumber") * 10).cast("long").alias("s"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).alias("e"), "l_orderkey")
+    d = read(spark, sf, "lineitem").select((F.col("l_partkey") % 97).alias("g"), (F.col("l_linenumber") * 10).cast("long").alias("s"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).alias("e"), "l_orderkey")
     p = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") % 97).alias("g"), (F.col("s_suppkey") % 100).alias("at"))
     return X.range_join(p, d, ["g"], "at", "s", "e", 16).select("l_orderkey", "g", "s", "e", "point")
 
@@ -442,17 +444,20 @@ def dali_coverage(spark, sf):
     return dali_statistics(h, 0.5, 3, 5, 1).select("query_id", "target_id", "alnlen", "qlen", "tlen", "cov")
 
 
-EDGES_SQL = "e AS (SELECT 'o' || l_orderkey AS q, 'p' || l_partkey AS t, l_extendedprice AS s FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09)"
+EDGES_SQL = "e AS (SELECT 'o' || l_orderkey AS q, 'p' || l_partkey AS t, l_extendedprice AS s FROM lineitem), b AS (SELECT q AS a, t AS b FROM e UNION SELECT t, q FROM e)"
+
+# every node with the least node that it reaches: a node is visited anew only when its least falls
+LEAST_SQL = """r(n, c) USING KEY (n) AS (SELECT a, min(least(a, b)) FROM b GROUP BY a
+UNION SELECT b.a, min(r.c) FROM b JOIN r ON b.b = r.n JOIN recurring.r AS own ON own.n = b.a GROUP BY b.a, own.c HAVING min(r.c) < own.c)"""
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
-    return rows.select(F.concat(F.lit("o"), "l_orderkey").alias("query"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_extendedprice").alias("alntmscore"))
+    return read(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("query"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_extendedprice").alias("alntmscore"))
 
 
 @bind(f"""
-WITH RECURSIVE {EDGES_SQL}, b AS (SELECT q AS a, t AS b FROM e UNION SELECT t, q FROM e), r AS (SELECT a AS n, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.n)
-SELECT n AS node, min(c) AS component FROM r GROUP BY n
+WITH RECURSIVE {EDGES_SQL}, {LEAST_SQL}
+SELECT n AS node, c AS component FROM r
 """)
 def components(spark, sf):
     """GRF-1."""
@@ -460,8 +465,8 @@ def components(spark, sf):
 
 
 @bind(f"""
-WITH RECURSIVE {EDGES_SQL}, b AS (SELECT q AS a, t AS b FROM e UNION SELECT t, q FROM e), r AS (SELECT a AS n, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.n)
-SELECT min(c) AS cluster_rep, n AS cluster_member FROM r GROUP BY n
+WITH RECURSIVE {EDGES_SQL}, {LEAST_SQL}
+SELECT c AS cluster_rep, n AS cluster_member FROM r
 UNION ALL SELECT DISTINCT 'p' || p_partkey, 'p' || p_partkey FROM part WHERE 'p' || p_partkey NOT IN (SELECT a FROM b)
 """)
 def component_clusters(spark, sf):
@@ -491,30 +496,29 @@ def graph_diag(spark, sf):
 
 
 @bind(f"""
-WITH {EDGES_SQL}, b AS (SELECT q AS a, t AS b FROM e UNION SELECT t, q FROM e) SELECT a AS member, count(*) AS degree FROM b GROUP BY a ORDER BY degree DESC, a LIMIT 10
+WITH {EDGES_SQL} SELECT a AS member, count(*) AS degree FROM b GROUP BY a ORDER BY degree DESC, a LIMIT 10
 """)
 def graph_top_degrees(spark, sf):
     """AGG-15, SRT-2, SRT-3: the ten hubs, a report."""
     return C.top_degrees(edges(spark, sf))
 
 
-@bind("""
-WITH RECURSIVE m AS (SELECT DISTINCT 'n' || s_nationkey AS rep, 's' || s_suppkey AS member FROM supplier),
+@bind(f"""
+WITH RECURSIVE m AS (SELECT 'c' || o_custkey AS rep, 'o' || o_orderkey AS member FROM orders),
 size AS (SELECT rep, count(*) AS n FROM m GROUP BY rep),
-a AS (SELECT DISTINCT 's' || x.l_suppkey AS q, 's' || y.l_suppkey AS t FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey <> y.l_suppkey WHERE x.l_discount >= 0.1 AND y.l_discount >= 0.1 AND x.l_quantity >= 45 AND y.l_quantity >= 45),
+h AS (SELECT DISTINCT l_partkey, l_suppkey, 'o' || l_orderkey AS o FROM lineitem),
+a AS (SELECT DISTINCT x.o AS q, y.o AS t FROM h x JOIN h y ON x.l_partkey = y.l_partkey AND x.l_suppkey = y.l_suppkey AND x.o <> y.o),
 link AS (SELECT x.rep AS r1, y.rep AS r2 FROM a JOIN m x ON x.member = q JOIN m y ON y.member = t JOIN size ON size.rep = x.rep WHERE x.rep <> y.rep GROUP BY x.rep, y.rep, size.n HAVING count(DISTINCT q) >= 0.25 * size.n),
-b AS (SELECT r1 AS a, r2 AS b FROM link UNION SELECT r2, r1 FROM link UNION SELECT rep, rep FROM size),
-r AS (SELECT a AS n, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.n),
-k AS (SELECT n AS rep, min(c) AS c FROM r GROUP BY n),
-s AS (SELECT c, arg_min(k.rep, (-size.n, k.rep)) AS super_rep, sum(size.n)::BIGINT AS cluster_count FROM k JOIN size USING (rep) GROUP BY c),
-i AS (SELECT *, row_number() OVER (ORDER BY cluster_count DESC, super_rep)::INT AS id FROM s)
-SELECT id AS "cluster_ID", cluster_count, m.rep AS cluster_rep, super_rep, member AS cluster_member FROM m JOIN k USING (rep) JOIN i USING (c)
+b AS (SELECT r1 AS a, r2 AS b FROM link UNION SELECT r2, r1 FROM link UNION SELECT rep, rep FROM size), {LEAST_SQL},
+s AS (SELECT c, arg_min(r.n, (-size.n, r.n)) AS super_rep, sum(size.n)::BIGINT AS cluster_count FROM r JOIN size ON size.rep = r.n GROUP BY c),
+i AS (SELECT *, row_number() OVER (ORDER BY cluster_count DESC, super_rep)::BIGINT AS id FROM s)
+SELECT id AS "cluster_ID", cluster_count, m.rep AS cluster_rep, super_rep, member AS cluster_member FROM m JOIN r ON m.rep = r.n JOIN i USING (c)
 """)
 def super_clusters(spark, sf):
-    """GRF-5, GRF-6, JN-7."""
-    clusters = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("cluster_rep"), F.concat(F.lit("s"), "s_suppkey").alias("cluster_member"))
-    rows = read(spark, sf, "lineitem").where("l_discount >= 0.1 and l_quantity >= 45").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("s"))
-    hits = rows.alias("x").join(rows.alias("y"), "l_orderkey").where("x.s <> y.s").select(F.col("x.s").alias("query"), F.col("y.s").alias("target"))
+    """GRF-5, JN-7: customers' orders, aligned where they hold the same part of the same supplier."""
+    clusters = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("cluster_rep"), F.concat(F.lit("o"), "o_orderkey").alias("cluster_member"))
+    rows = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.concat(F.lit("o"), "l_orderkey").alias("o")).distinct()
+    hits = rows.alias("x").join(rows.alias("y"), ["l_partkey", "l_suppkey"]).where("x.o <> y.o").select(F.col("x.o").alias("query"), F.col("y.o").alias("target"))
     return C.super_clusters(clusters, hits, 0.25)
 
 
@@ -530,24 +534,25 @@ def trim_by_plddt(spark, sf):
 
 
 @bind("""
-WITH p AS (SELECT item_id, substring(text, 1, 40) AS q, substring(text, 3, 40) AS t FROM benchmark WHERE length(text) >= 50),
-c AS (SELECT item_id, list_filter(range(1, 41), lambda i: regexp_matches(substring(upper(q), i, 1), '^[A-Z]$') AND regexp_matches(substring(upper(t), i, 1), '^[A-Z]$')) AS cols, upper(q) AS q, upper(t) AS t FROM p)
-SELECT item_id, floor(100.0 * len(list_filter(cols, lambda i: substring(q, i, 1) = substring(t, i, 1))) / len(cols) + 0.5)::INT AS pident FROM c WHERE len(cols) > 0
+WITH u AS (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS q FROM benchmark), p AS (SELECT item_id, q, substring(q, 3) || substring(q, 1, 2) AS t FROM u),
+c AS (SELECT item_id, list_filter(range(1, length(q) + 1), lambda i: regexp_matches(substring(q, i, 1), '^[A-Z]$') AND regexp_matches(substring(t, i, 1), '^[A-Z]$')) AS cols, q, t FROM p)
+SELECT item_id, floor(100e0 * len(list_filter(cols, lambda i: substring(q, i, 1) = substring(t, i, 1))) / len(cols) + 0.5e0)::INT AS pident FROM c WHERE len(cols) > 0
 """)
 def aligned_identity(spark, sf):
-    """ALN-1, ALN-3."""
-    p = read(spark, sf, "benchmark").where("length(text) >= 50").select("item_id", F.upper(F.substring("text", 1, 40)).alias("q"), F.upper(F.substring("text", 3, 40)).alias("t"))
+    """ALN-1, ALN-3: whole texts against themselves, turned by two characters."""
+    q = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    p = read(spark, sf, "benchmark").select("item_id", q.alias("q"), F.concat(F.substr(q, F.lit(3)), F.left(q, F.lit(2))).alias("t"))
     return p.select("item_id", S.percent_identity(F.col("q"), F.col("t")).alias("pident")).where("pident is not null")
 
 
 @bind("""
-WITH d AS (SELECT l_orderkey, l_linenumber || '-' || (l_linenumber + l_quantity::INT % 7) || '_' || (l_linenumber + 20) AS boundary, l_linenumber AS a, l_linenumber + l_quantity::INT % 7 AS b FROM lineitem WHERE l_discount >= 0.1)
+WITH d AS (SELECT l_orderkey, l_linenumber || '-' || (l_linenumber + l_quantity::INT % 7) || '_' || (l_linenumber + 20) AS boundary, l_linenumber AS a, l_linenumber + l_quantity::INT % 7 AS b FROM lineitem)
 SELECT l_orderkey, boundary, unnest(list_concat(range(a, b + 1), [a + 20]))::INT AS residue FROM d
 """)
 def domain_residues(spark, sf):
     """JSN-4."""
     a, b = F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") % 7
-    d = read(spark, sf, "lineitem").where("l_discount >= 0.1").select("l_orderkey", F.concat(a.cast("string"), F.lit("-"), b.cast("string"), F.lit("_"), (a + 20).cast("string")).alias("boundary"))
+    d = read(spark, sf, "lineitem").select("l_orderkey", F.concat(a.cast("string"), F.lit("-"), b.cast("string"), F.lit("_"), (a + 20).cast("string")).alias("boundary"))
     return d.select("l_orderkey", "boundary", F.explode(S.range_residues(F.col("boundary"))).alias("residue"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets one where it is unset."""
+    """The session's checkpoint folder; sets a temporary one where it is unset, in local mode only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,14 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessaline-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tessaline/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: computed once, lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessaline/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,12 +45,12 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str = "step") -> DataF
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     rows = df.repartition(buckets, key).write.bucketBy(buckets, key)
-    rows.option("path", f"{shared_dir(spark)}/tessaline/{table}").saveAsTable(table)
+    rows.option("path", f"{own_dir(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialise`` has written in this session's folder, once no result needs them any more."""
+    """Deletes the intermediate tables that this application has written, once no result needs them any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessaline")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

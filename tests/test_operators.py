@@ -80,9 +80,9 @@ def test_extremes_and_trim(spark):
 
 
 def test_trim_by_plddt(spark):
-    iv = spark.createDataFrame([("q", 2, 6), ("r", 1, 3)], "query string, qstart int, qend int")
+    iv = spark.createDataFrame([("q", 2, 6), ("r", 1, 3), ("q", 2, 6)], "query string, qstart int, qend int")
     p = spark.createDataFrame([("q", i, v) for i, v in enumerate([90, 10, 80, 20, 70, 30], 1)] + [("r", i, 5) for i in (1, 2, 3)], "query string, position int, plddt int")
-    assert rows(A.trim_by_plddt(iv, p, 60)) == [("q", 2, 6, 3, 5), ("r", 1, 3, None, None)]
+    assert rows(A.trim_by_plddt(iv, p, 60)) == [("q", 2, 6, 3, 5), ("q", 2, 6, 3, 5), ("r", 1, 3, None, None)]
 
 
 def brute_cover(pairs):
@@ -104,8 +104,9 @@ def test_greedy_cover(spark, seed):
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}", rng.random()) for _ in range(30)]
     df = spark.createDataFrame(pairs, "query string, target string, alntmscore double")
-    got = {r.cluster_member: r.cluster_rep for r in C.greedy_clusters(df, reassign=False).collect()}
-    assert got == brute_cover([(a, b) for a, b, _ in pairs])
+    for task_pairs in (2_000_000, 0):  # covered in tasks, and by joins alone
+        got = [(r.cluster_member, r.cluster_rep) for r in C.greedy_clusters(df, reassign=False, task_pairs=task_pairs).collect()]
+        assert sorted(got) == sorted(brute_cover([(a, b) for a, b, _ in pairs]).items())
 
 
 def test_cover_function_on_large_random_graphs():
