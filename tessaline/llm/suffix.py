@@ -12,7 +12,6 @@ Only bytes decide what is removed; hashes only leave out what cannot repeat.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from ..storage import materialise
 from .anchors import BYTE, CHUNK, anchors
-from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, mix, reply, rows, send, starts_of, state
+from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, by_bucket, distinct, each_block, mix, reply, rows, send, slices, starts_of, state
 from .common import keyed
 
 BYTES, GRAM = 50, 24
@@ -30,8 +29,8 @@ BYTES, GRAM = 50, 24
 HOT = 16_384
 #: What a step sends besides requests (0), state (1) and replies (2): entries to sort, hashes of windows of hot strings and their starts.
 ENTRY, WINDOW, LATER = 3, 4, 5
-_HEAD = "<qqIH"
-_HEAD_SIZE = struct.calcsize(_HEAD)
+#: Windows that a bucket sorts at once, but for those of one string.
+PORTION = 1 << 20
 
 
 def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +95,24 @@ def _windows(lo: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
 
 
-def _payloads(kind: int, number: int, data: np.ndarray, bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, more: np.ndarray, width: int) -> Iterator[tuple]:
-    """Rows of entries with their bytes, one for each bucket."""
-    o = np.argsort(bucket, kind="stable")
-    raw, made, last = data.tobytes(), [], None
-    for b, d, s, m in zip(bucket[o].tolist(), doc[o].tolist(), lo[o].tolist(), more[o].tolist(), strict=True):
-        if b != last and made:
-            yield kind, number, last, zstandard.compress(b"".join(made), 1)
-            made = []
-        last = b
-        made.append(struct.pack(_HEAD, d, number, s, m) + raw[s : s + m + width])
-    if made:
-        yield kind, number, last, zstandard.compress(b"".join(made), 1)
+def _payloads(kind: int, number: int, data: np.ndarray, keys: np.ndarray, bits: int, doc: np.ndarray, lo: np.ndarray, more: np.ndarray, width: int) -> Iterator[tuple]:
+    """Rows of entries with their bytes, one for each bucket of their keys; the 16 bits below the bucket's tell entries apart."""
+    o = np.argsort(keys, kind="stable")
+    raw, below, doc, lo, more = data.tobytes(), ((keys[o] >> U64(48 - bits)) & U64(0xFFFF)).astype("<u2"), doc[o].astype("<i8"), lo[o].astype("<u4"), more[o].astype("<u2")
+    for bucket, at in slices(keys[o], bits):
+        parts = [raw[a : a + m + width] for a, m in zip(lo[at].tolist(), more[at].tolist(), strict=True)]
+        head = [np.array([len(parts)], "<u4"), doc[at], lo[at], more[at], below[at]]
+        yield kind, number, bucket, zstandard.compress(b"".join([*(h.tobytes() for h in head), *parts]), 1)
+
+
+def _entries(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Documents, starts, further windows, bits below the bucket's and bytes of the entries that ``_payloads`` packed."""
+    raw = zstandard.decompress(payload)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    doc, lo = np.frombuffer(raw, "<i8", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64)
+    more, below = np.frombuffer(raw, "<u2", n, 4 + 12 * n).astype(np.int64), np.frombuffer(raw, "<u2", n, 4 + 14 * n)
+    ends = 4 + 16 * n + np.cumsum(more + width)
+    return doc, lo, more, below, [raw[a:b] for a, b in zip((ends - more - width).tolist(), ends.tolist(), strict=True)]
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -141,7 +146,7 @@ def _sorter(width: int, gram: int, bits: int):
         stays = np.zeros(len(entries), bool)
         stays[entry[~gone]] = True
         sent = entries[stays & far[entries] & ~hot[entries]]
-        out += _payloads(ENTRY, number, own.data, (own.gram[sent] >> U64(64 - bits)).astype(np.int64), own.doc[sent], own.lo[sent], own.more[sent], width)
+        out += _payloads(ENTRY, number, own.data, own.gram[sent], bits, own.doc[sent], own.lo[sent], own.more[sent], width)
         if len(single := np.sort(starts[~gone & hot[entries][entry]])):
             keys = distinct(_hashed(own.data, single, width), single)[0]
             out += [(WINDOW, *r[1:]) for r in send(number, keys, np.ones(len(keys), np.uint16), bits)]
@@ -159,27 +164,41 @@ def _hot(width: int, bits: int):
         h = _hashed(data, starts, width)
         place = distinct(h, starts)[3]
         keep = (reply(known) > 0)[place] if len(starts) else np.zeros(0, bool)
-        starts, bucket = starts[keep], (h[keep] >> U64(64 - bits)).astype(np.int64)
+        starts, h = starts[keep], h[keep]
         row = np.searchsorted(np.cumsum([len(t) for t in block.texts]), starts, "right")
-        return pa.Table.from_batches([rows(list(_payloads(ENTRY, number, data, bucket, block.ids[row], starts, np.zeros(len(starts), np.int64), width)))])
+        return pa.Table.from_batches([rows(list(_payloads(ENTRY, number, data, h, bits, block.ids[row], starts, np.zeros(len(starts), np.int64), width)))])
 
     return run
 
 
 def _settler(width: int):
+    """Sorts the windows that reached a bucket, a portion of their strings at a time: equal windows have equal bits below the bucket's."""
+
     def settle(table: pa.Table) -> pa.Table:
-        buffer, at, heads, places = b"".join(map(zstandard.decompress, table.column("payload").to_pylist())), 0, [], []
-        while at < len(buffer):
-            heads.append(head := struct.unpack_from(_HEAD, buffer, at))
-            places.append(at + _HEAD_SIZE)
-            at += _HEAD_SIZE + head[3] + width
-        doc, block, lo, more = (np.array(c, np.int64) for c in zip(*heads, strict=True))
-        first = np.array(places)
-        starts, entry = _windows(first, more)
-        gone = np.flatnonzero(later(np.frombuffer(buffer, np.uint8), starts, doc[entry], width))
-        found, owner = lo[entry[gone]] + starts[gone] - first[entry[gone]], block[entry[gone]]
-        out = [(1, int(b), -1, state(np.sort(found[owner == b]))) for b in np.unique(owner)]
-        return pa.Table.from_batches([rows(out)])
+        cols, texts = [], []
+        for number, payload in zip(table.column("block").to_pylist(), table.column("payload"), strict=True):
+            *heads, parts = _entries(payload.as_py(), width)
+            cols.append((*heads, np.full(len(parts), number)))
+            texts += parts
+        doc, lo, more, below, block = (np.concatenate(c) for c in zip(*cols, strict=True))
+        o = np.argsort(below, kind="stable")
+        windows = np.cumsum(more[o] + 1)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(below[o])) + 1, [len(o)]])
+        cuts = edges[np.concatenate([[True], np.diff(np.concatenate([[0], windows[edges[1:] - 1]]) // PORTION) > 0])]
+        found, owner = [], []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(o)], strict=True):
+            at = o[a:b]
+            n = more[at] + width
+            first = np.cumsum(n) - n
+            starts, entry = _windows(first, more[at])
+            gone = np.flatnonzero(later(np.frombuffer(b"".join([texts[i] for i in at.tolist()]), np.uint8), starts, doc[at][entry], width))
+            found.append(lo[at][entry[gone]] + starts[gone] - first[entry[gone]])
+            owner.append(block[at][entry[gone]])
+        place, owner = np.concatenate(found), np.concatenate(owner)
+        o = np.lexsort((place, owner))
+        place, owner = place[o], owner[o]
+        edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+        return pa.Table.from_batches([rows([(1, int(owner[a]), -1, state(place[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b])])
 
     return settle
 
