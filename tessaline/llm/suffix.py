@@ -30,7 +30,7 @@ HOT = 16_384
 #: What a step sends besides requests (0), state (1) and replies (2): entries to sort, hashes of windows of hot strings and their starts.
 ENTRY, WINDOW, LATER = 3, 4, 5
 #: Windows that a bucket sorts at once, but for those of one string.
-PORTION = 1 << 20
+PORTION = 1 << 18
 
 
 def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +105,22 @@ def _payloads(kind: int, number: int, data: np.ndarray, keys: np.ndarray, bits:
         yield kind, number, bucket, zstandard.compress(b"".join([*(h.tobytes() for h in head), *parts]), 1)
 
 
-def _entries(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Documents, starts, further windows, bits below the bucket's and bytes of the entries that ``_payloads`` packed."""
-    raw = zstandard.decompress(payload)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    doc, lo = np.frombuffer(raw, "<i8", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64)
-    more, below = np.frombuffer(raw, "<u2", n, 4 + 12 * n).astype(np.int64), np.frombuffer(raw, "<u2", n, 4 + 14 * n)
-    ends = 4 + 16 * n + np.cumsum(more + width)
-    return doc, lo, more, below, [raw[a:b] for a, b in zip((ends - more - width).tolist(), ends.tolist(), strict=True)]
+class _Entries:
+    """The entries that ``_payloads`` packed: arrays over the buffer, in order of the bits below the bucket's."""
+
+    def __init__(self, payload: bytes, width: int):
+        self.raw = zstandard.decompress(payload)
+        n = int(np.frombuffer(self.raw, "<u4", 1)[0])
+        self.doc, self.lo = np.frombuffer(self.raw, "<i8", n, 4), np.frombuffer(self.raw, "<u4", n, 4 + 8 * n)
+        self.more, self.below = np.frombuffer(self.raw, "<u2", n, 4 + 12 * n), np.frombuffer(self.raw, "<u2", n, 4 + 14 * n)
+        self.width, self.text = width, 4 + 16 * n
+
+    def between(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """Documents, starts, further windows and bytes of the entries whose bits are in a range."""
+        a, b = np.searchsorted(self.below, [low, high])
+        n = self.more[:b].astype(np.int64) + self.width
+        begin = self.text + int(n[:a].sum())
+        return self.doc[a:b], self.lo[a:b], self.more[a:b], self.raw[begin : begin + int(n[a:].sum())]
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -175,25 +183,23 @@ def _settler(width: int):
     """Sorts the windows that reached a bucket, a portion of their strings at a time: equal windows have equal bits below the bucket's."""
 
     def settle(table: pa.Table) -> pa.Table:
-        cols, texts = [], []
-        for number, payload in zip(table.column("block").to_pylist(), table.column("payload"), strict=True):
-            *heads, parts = _entries(payload.as_py(), width)
-            cols.append((*heads, np.full(len(parts), number)))
-            texts += parts
-        doc, lo, more, below, block = (np.concatenate(c) for c in zip(*cols, strict=True))
-        o = np.argsort(below, kind="stable")
-        windows = np.cumsum(more[o] + 1)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(below[o])) + 1, [len(o)]])
-        cuts = edges[np.concatenate([[True], np.diff(np.concatenate([[0], windows[edges[1:] - 1]]) // PORTION) > 0])]
+        blocks = np.array(table.column("block").to_pylist(), np.int64)
+        entries = [_Entries(p.as_py(), width) for p in table.column("payload")]
+        windows = np.zeros(1 << 16, np.int64)
+        for e in entries:
+            windows += np.bincount(e.below, e.more.astype(np.int64) + 1, 1 << 16).astype(np.int64)
+        # a portion ends with the string that fills it
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(windows) // PORTION, prepend=0)) + 1).tolist(), 1 << 16]
         found, owner = [], []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(o)], strict=True):
-            at = o[a:b]
-            n = more[at] + width
-            first = np.cumsum(n) - n
-            starts, entry = _windows(first, more[at])
-            gone = np.flatnonzero(later(np.frombuffer(b"".join([texts[i] for i in at.tolist()]), np.uint8), starts, doc[at][entry], width))
-            found.append(lo[at][entry[gone]] + starts[gone] - first[entry[gone]])
-            owner.append(block[at][entry[gone]])
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            doc, lo, more, texts = zip(*(e.between(low, high) for e in entries), strict=True)
+            block = np.repeat(blocks, [len(d) for d in doc])
+            doc, lo, more = np.concatenate(doc), np.concatenate(lo).astype(np.int64), np.concatenate(more).astype(np.int64)
+            first = np.cumsum(more + width) - more - width
+            starts, entry = _windows(first, more)
+            gone = np.flatnonzero(later(np.frombuffer(b"".join(texts), np.uint8), starts, doc[entry], width))
+            found.append(lo[entry[gone]] + starts[gone] - first[entry[gone]])
+            owner.append(block[entry[gone]])
         place, owner = np.concatenate(found), np.concatenate(owner)
         o = np.lexsort((place, owner))
         place, owner = place[o], owner[o]

@@ -90,6 +90,7 @@ def test_radix_groups():
 
 def test_hot_strings_are_dealt_by_windows(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "PORTION", 8)
     rng = random.Random(21)
     line = "this very line of over fifty bytes stands in every document of the table; "
     rows = [(i, f"{rng.random()}" * rng.randrange(3) + line * rng.randrange(1, 3) + f"{rng.randrange(4)}" * 40) for i in rng.sample(range(300), 120)]
