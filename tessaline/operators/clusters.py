@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,32 +42,54 @@ def best_scores(pairs: DataFrame, query: str = "query", target: str = "target",
     return p.groupBy(F.least(query, target).alias("a"), F.greatest(query, target).alias("b")).agg(F.max(F.col(score).cast("double")).alias("score"))
 
 
-def cover(members: list, neighbours: dict) -> dict:
-    """Greedy set cover: the member with most unclaimed neighbours (itself counted) claims them, the least of equals first.
+def _cover(start: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The representative of each member by greedy set cover; member i has the distinct neighbours near[start[i]:start[i + 1]].
 
-    A heap with stale entries: a member's count only falls, so an entry popped with its present count is the greatest.
+    Counts only fall, so whoever will be picked at the greatest count has it when the first of them is: a level is one pass in the
+    order of members. Levels are taken down to half of the greatest count at a time, so only members above that are looked at.
     """
-    left = set(members)
-    size = {m: 1 + len(neighbours.get(m, ())) for m in left}
-    heap = [(-s, m) for m, s in size.items()]
-    heapq.heapify(heap)
-    rep: dict = {}
-    while left:
-        s, m = heapq.heappop(heap)
-        if m not in left:
-            continue
-        if -s != size[m]:
-            heapq.heappush(heap, (-size[m], m))
-            continue
-        claimed = {m, *(x for x in neighbours.get(m, ()) if x in left)}
-        for c in claimed:
-            rep[c] = m
-        left -= claimed
-        for c in claimed:
-            for x in neighbours.get(c, ()):
-                if x in left:
-                    size[x] -= 1
-    return rep
+    # arrays for single members, seen as numpy for all at once
+    first, hoods = array("q", start.astype(np.int64).tobytes()), array("i", near.astype(np.int32).tobytes())
+    size, rep = array("i", (np.diff(start) + 1).astype(np.int32).tobytes()), array("i", [-1]) * (len(start) - 1)
+    sizes, reps = np.frombuffer(size, np.int32), np.frombuffer(rep, np.int32)
+    while len(left := np.flatnonzero(reps < 0)):
+        floor = int(sizes[left].max()) // 2
+        if not floor:  # no links are left
+            reps[left] = left
+            break
+        ahead = left[sizes[left] > floor]
+        while len(ahead):
+            most = int(sizes[ahead].max())
+            for m in ahead[sizes[ahead] == most].tolist():
+                if rep[m] >= 0 or size[m] != most:
+                    continue
+                claimed = [m, *(x for x in hoods[first[m] : first[m + 1]] if rep[x] < 0)]
+                for c in claimed:
+                    rep[c] = m
+                    for x in hoods[first[c] : first[c + 1]]:
+                        size[x] -= 1
+            ahead = ahead[(reps[ahead] < 0) & (sizes[ahead] > floor)]
+    return reps
+
+
+def cover(members: list, neighbours: dict) -> dict:
+    """Greedy set cover: the member with most unclaimed neighbours (itself counted) claims them, the least of equals first."""
+    names = sorted(members)
+    index = {m: i for i, m in enumerate(names)}
+    near = [[index[x] for x in neighbours.get(m, ())] for m in names]
+    rep = _cover(np.cumsum([0, *map(len, near)]), np.array([x for hood in near for x in hood], np.int32))
+    return {m: names[r] for m, r in zip(names, rep.tolist(), strict=True)}
+
+
+def cover_pairs(pairs: pa.Table) -> pa.Table:
+    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of whole numbers, in arrays."""
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    names = np.unique(np.concatenate([a, b]))
+    a, b = (np.searchsorted(names, x).astype(np.int32) for x in (a, b))
+    ends = np.concatenate([a, b])
+    near = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
+    rep = _cover(np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(names)))]), near)
+    return pa.table({"cluster_rep": names[rep], "cluster_member": names})
 
 
 def _pick(open_pairs: DataFrame) -> DataFrame:
@@ -86,45 +109,64 @@ def _pick(open_pairs: DataFrame) -> DataFrame:
     return claimed.unionByName(reps.select(F.col("a").alias("cluster_rep"), F.col("a").alias("cluster_member")))
 
 
-def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True, task_pairs: int = 2_000_000) -> DataFrame:
-    """(cluster_rep, cluster_member) by greedy set cover, then members moved to representatives of strictly higher score.
+def _covered(rest: DataFrame, task_pairs: int) -> DataFrame:
+    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of whole numbers.
 
-    A pick never affects another connected component, so components are covered in parallel, each in one task. As long as a
-    component has more than ``task_pairs`` pairs, all picks that no other can forestall are made by joins, which shrinks it; the
-    result is that of the sequential cover either way.
+    Up to ``task_pairs`` pairs are covered in one task. Of more, components of up to so many are dealt to tasks, the small ones
+    several to a task; in larger ones all picks that no other can forestall are made by joins, until they have shrunk.
     """
-    scores = materialise(best_scores(pairs, query, target, score), "scores")
-    seen = pairs.select(F.col(query).alias("m")).unionByName(pairs.select(F.col(target).alias("m")))
-    if all_inputs is not None:
-        seen = seen.unionByName(all_inputs.select(F.col(all_inputs.columns[0]).alias("m")))
-    seen = seen.where("m is not null").distinct()
-    kind = dict(scores.dtypes)["a"]
-
-    def claim(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(part["a"], part["b"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        rep = cover(list(near), near)
-        return pd.DataFrame({"cluster_rep": list(rep.values()), "cluster_member": list(rep)})
-
-    rest, picked = scores.select("a", "b"), []
-    while True:
+    schema = "cluster_rep long, cluster_member long"
+    parts, n = [], rest.count()
+    while n > task_pairs:
         comp = connected_components(rest, "a", "b")
-        linked = rest.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
-        if rest.count() <= task_pairs or (linked.groupBy("component").count().agg(F.max("count")).first()[0] or 0) <= task_pairs:
-            break
+        linked = materialise(rest.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b"), "linked")
+        sizes = linked.groupBy("component").agg(F.count("*").alias("n"))
+        small = linked.join(sizes.where(F.col("n") <= task_pairs), "component")
+        some = max(1, task_pairs // 8)  # pairs of a task that has several components; names are not negative
+        bin_ = F.when(F.col("n") > some, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(-(-n // some))))
+        parts.append(materialise(small.select(bin_.alias("bin"), "a", "b").groupBy("bin").applyInArrow(cover_pairs, schema), "covered"))
+        rest = materialise(linked.join(sizes.where(F.col("n") > task_pairs), "component", "left_semi").select("a", "b"), "rest")
         for _ in range(4):
-            picked.append(materialise(_pick(rest), "picked"))
-            gone = picked[-1].select(F.col("cluster_member").alias("a"))
+            if (n := rest.count()) <= task_pairs:
+                break
+            parts.append(materialise(_pick(rest), "picked"))
+            gone = parts[-1].select(F.col("cluster_member").alias("a"))
             rest = materialise(rest.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "rest")
-    out = linked.groupBy("component").applyInPandas(claim, f"cluster_rep {kind}, cluster_member {kind}")
-    for part in picked:
+        n = rest.count()
+    if n:
+        parts.append(materialise(rest.coalesce(1).mapInArrow(lambda batches: cover_pairs(pa.Table.from_batches(batches)).to_batches(10_000), schema), "covered"))
+    out = rest.sparkSession.createDataFrame([], schema)
+    for part in parts:
         out = out.unionByName(part)
-    out = materialise(out, "covered")
-    alone = seen.join(out.select(F.col("cluster_member").alias("m")), "m", "left_anti")
-    out = out.unionByName(alone.select(F.col("m").alias("cluster_rep"), F.col("m").alias("cluster_member")))
-    return reassign_members(out, scores) if reassign else out
+    return out
+
+
+def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True, task_pairs: int = 8_000_000) -> DataFrame:
+    """(cluster_rep, cluster_member) by greedy set cover, then members moved to representatives of strictly higher score.
+
+    Names are numbered in their order first, so that pairs are pairs of numbers, of which a task holds ``task_pairs`` in arrays. A pick
+    never affects another connected component, so more pairs are covered by component, in parallel, and what one task cannot hold is
+    shrunk by joins; the result is that of the sequential cover either way.
+    """
+    pairs = pairs.select(F.col(query).alias("q"), F.col(target).alias("t"), F.col(score).cast("double").alias("score"))
+    seen = pairs.select(F.col("q").alias("m")).unionByName(pairs.select(F.col("t").alias("m")))
+    if all_inputs is not None:
+        seen = seen.unionByName(all_inputs.select(F.col(all_inputs.columns[0]).alias("m")))
+    kind = dict(seen.dtypes)["m"]
+    # ranges of names in their order, and within them too
+    names = seen.where("m is not null").distinct().repartitionByRange("m").sortWithinPartitions("m").select("m", F.monotonically_increasing_id().alias("i"))
+    names = materialise(names, "names")
+    for end in "qt":
+        pairs = pairs.withColumn(end, F.col(end).cast(kind)).join(names.select(F.col("m").alias(end), F.col("i").alias(f"{end}i")), end).drop(end)
+    scores = materialise(best_scores(pairs, "qi", "ti", "score"), "scores")
+    out = _covered(scores.select("a", "b"), task_pairs)
+    alone = names.select("i").join(out.select(F.col("cluster_member").alias("i")), "i", "left_anti")
+    out = materialise(out.unionByName(alone.select(F.col("i").alias("cluster_rep"), F.col("i").alias("cluster_member"))), "clusters")
+    if reassign:
+        out = reassign_members(out, scores)
+    for end in ("cluster_rep", "cluster_member"):
+        out = out.withColumnRenamed(end, "i").join(names.withColumnRenamed("m", end), "i").drop("i")
+    return out.select("cluster_rep", "cluster_member")
 
 
 def reassign_members(clusters: DataFrame, scores: DataFrame) -> DataFrame:
@@ -136,9 +178,11 @@ def reassign_members(clusters: DataFrame, scores: DataFrame) -> DataFrame:
     reps = clusters.select(F.col("cluster_rep").alias("rep")).distinct()
     moving = clusters.join(reps.select(F.col("rep").alias("cluster_member")), "cluster_member", "left_anti")
     offers = both.join(reps.select(F.col("rep").alias("b")), "b").select(F.col("a").alias("cluster_member"), F.col("b").alias("offer"), "score")
-    now = moving.join(offers.select("cluster_member", F.col("offer").alias("cluster_rep"), F.col("score").alias("own")), ["cluster_member", "cluster_rep"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    best = offers.groupBy("cluster_member").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("offer").alias("rep"))).alias("best"))
-    now = now.join(best, "cluster_member", "left")
+    now = moving.join(offers, "cluster_member", "left").groupBy("cluster_member", "cluster_rep").agg(
+        F.coalesce(F.max(F.when(F.col("offer") == F.col("cluster_rep"), F.col("score"))), F.lit(0.0)).alias("own"),
+        F.min(F.struct((-F.col("score")).alias("s"), F.col("offer").alias("rep"))).alias("best"),
+    )
+    now = materialise(now, "offered")
     # members below 0 that no representative offers more: the least representative that is not below 0 with them, as one of
     # the first k + 1 names if a member has at most k such
     offer = -F.col("best.s")

@@ -109,6 +109,24 @@ def test_greedy_cover(spark, seed):
         assert sorted(got) == sorted(brute_cover([(a, b) for a, b, _ in pairs]).items())
 
 
+def test_greedy_cover_by_parts(spark):
+    """Small components share tasks, middling ones have their own and larger ones shrink by joins first; names are of any type."""
+    rng = random.Random(5)
+    pairs = [(100 * k + rng.randrange(size), 100 * k + rng.randrange(size)) for k, size in enumerate([2, 3, 4, 5, 9, 14]) for _ in range(2 * size)]
+    df = spark.createDataFrame([*((a, b, 1.0) for a, b in pairs), (7, None, 1.0)], "query int, target int, alntmscore double")
+    got = C.greedy_clusters(df, reassign=False, task_pairs=16)
+    assert got.columns == ["cluster_rep", "cluster_member"] and [t for _, t in got.dtypes] == ["int", "int"]
+    assert sorted((r.cluster_member, r.cluster_rep) for r in got.collect()) == sorted(({7: 7} | brute_cover(pairs)).items())
+
+
+def test_greedy_cover_needs_no_components_where_a_task_holds_all(spark, monkeypatch):
+    """Rounds of components over millions of pairs took most of the time."""
+    monkeypatch.setattr(C, "connected_components", lambda *_: pytest.fail("components"))
+    pairs = [("a", "b"), ("b", "c"), ("d", "e"), ("f", "f")]
+    df = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "query string, target string, alntmscore double")
+    assert {r.cluster_member: r.cluster_rep for r in C.greedy_clusters(df).collect()} == brute_cover(pairs)
+
+
 def test_cover_function_on_large_random_graphs():
     rng = random.Random(9)
     for _ in range(300):
