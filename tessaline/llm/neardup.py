@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..storage import materialise
+from ..storage import materialise, settled
 from .blocks import SCHEMA, U64, Block, Sizes, answered, blocked, each_block, mix, reply, send
 from .blocks import rows as request_rows
 from .common import bounded_batches, fresh, keyed
@@ -329,7 +329,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each class, that of least doc_id; columns unchanged. Rows without words all stay."""
-    found = materialise(classes(docs, threshold), "near")
+    found = settled(lambda: classes(docs, threshold), "near")
     id_, node, own = fresh(docs, "id", "node", "own")
     kept = found.where("node is null or doc_id <=> class_id").select(F.col("doc_id").cast("long").alias(id_), F.coalesce("node", F.lit("")).alias(node)).distinct()
     same_id = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))

@@ -177,3 +177,17 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert ids.count((False, 6)) == 1 and (False, 17) not in ids  # repeated rows and the copy of 5 go
+
+
+def test_near_duplicates_leave_one_table(spark):
+    """What led to the classes took disk in all later stages of the pipeline."""
+    from pathlib import Path
+
+    from tessaline.storage import own_dir
+
+    tables = lambda: {p.name for p in Path(own_dir(spark).removeprefix("file:")).glob("*")}
+    docs = spark.createDataFrame([(i, f"{' '.join(map(str, range(40)))} {i // 2}") for i in range(8)], "doc_id long, text string")
+    before = tables()
+    kept = neardup.deduplicate(docs)
+    assert [x.partition("-")[0] for x in tables() - before] == ["near"]
+    assert 1 <= kept.count() <= 4

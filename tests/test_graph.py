@@ -37,3 +37,20 @@ def test_intermediate_tables(spark):
     assert df.count() == 5 and df.inputFiles()[0].startswith("file:")
     storage.clear(spark)
     assert spark.read.schema("id long").option("ignoreMissingFiles", True).parquet(storage.shared_dir(spark)).count() == 0
+
+
+def test_settled_deletes_what_led_to_it(spark):
+    from pathlib import Path
+
+    from tessaline import storage
+
+    def make():
+        inner = storage.settled(lambda: storage.materialise(spark.range(3), "innermost"), "inner")
+        return storage.bucketed(storage.materialise(spark.range(5), "first"), "id", 2, "second").join(inner, "id")
+
+    outer = storage.materialise(spark.range(9), "outer")
+    df = storage.settled(make, "third")
+    left = [p.name for p in Path(storage.own_dir(spark).removeprefix("file:")).iterdir()]
+    assert not [x for x in left if x.startswith(("innermost-", "inner-", "first-", "second_"))]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("second_")]
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2] and outer.count() == 9
