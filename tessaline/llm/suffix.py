@@ -1,12 +1,13 @@
 """Suffix-array dedup over bytes by a depth-limited radix sort.
 
-Suffixes are ordered only through the threshold of 50 bytes, by passes from the most significant digit of eight bytes down;
+Suffixes are ordered only through the threshold of 50 bytes, by passes from the most significant digit of up to eight bytes down;
 after the last pass, groups of equal suffixes are exactly the repeated windows, and a pass leaves out suffixes that already
 differ from all others. Which suffixes are sorted together is settled first, across machines, by a digit that equal windows share by
 construction: a string of 24 bytes sampled from the window by its content. Windows whose string no other document holds are
-left out; the others are sorted by their bytes, first within each block of documents, and the first of each block then within
-buckets of their strings. Where a string has very many entries, its windows are dealt to buckets one by one.
-Only bytes decide what is removed; hashes only leave out what cannot repeat.
+left out; the others are sorted by their bytes, within a block of documents where several of its documents hold their string, and the
+first of each block then within buckets of their strings. Windows of one document about one occurrence of a string are an entry. Entries
+are sorted first, through all their bytes, and the windows of equal ones only once. Where a string has very many entries, its windows
+are dealt to buckets one by one. Only bytes decide what is removed; hashes only leave out what cannot repeat.
 """
 
 from __future__ import annotations
@@ -33,34 +34,57 @@ ENTRY, WINDOW, LATER = 3, 4, 5
 PORTION = 1 << 18
 
 
-def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def radix_groups(text: np.ndarray, starts: np.ndarray, depth: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (indices into ``starts``) equal to another through ``depth`` bytes, and their group numbers, in order.
 
-    Each pass sorts the remaining suffixes by group and next digit of eight bytes (fewer in the last), and drops those alone.
+    ``depth`` may differ by suffix; those of different depths are not equal. Each pass sorts the remaining suffixes by group and next
+    digit, which has the bytes that the group's number leaves free in 64 bits, and drops those alone.
     """
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
     eight = np.ndarray((len(text) + 9,), ">u8", padded, strides=(1,))
-    left, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for at in range(0, depth, 8):
-        digit = eight[starts[left] + at].astype(np.uint64) >> np.uint64(8 * max(0, at + 8 - depth))
-        o = np.lexsort((digit, group)) if at else np.argsort(digit)
-        left, group, digit = left[o], group[o], digit[o]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])[: len(o)]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-        left, group = left[several], group[several]
+    depths, group = np.unique(depth, return_inverse=True)
+    left, group, at, count = np.arange(len(starts)), np.broadcast_to(group, len(starts)), 0, len(depths)
+    while len(left) and at < depths[-1]:
+        taken = (64 - (count - 1).bit_length()) // 8
+        beyond = np.maximum(8 - taken, at + 8 - depths).astype(U64)  # bytes of eight that are no part of the digit, by depth
+        if len(depths) > 1:
+            beyond = beyond[np.searchsorted(depths, depth[left])]
+        half = np.minimum(beyond, U64(8)) * U64(4)  # bits, shifted twice: where the depth is reached, all 64 go
+        digit = eight[np.minimum(starts[left] + at, len(text))].astype(U64) >> half >> half
+        if count > 1:
+            digit |= group.astype(U64) << U64(8 * taken)
+        o = np.argsort(digit)
+        digit = digit[o]
+        same = digit[1:] == digit[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        left, group = left[o[several]], np.cumsum(np.concatenate([[True], ~same])[several]) - 1
+        at, count = at + taken, int(group[-1]) + 1 if len(group) else 0
     return left, group
 
 
-def later(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
-    """Whether a window of a smaller document equals the one at each start."""
-    left, group = radix_groups(text, starts, depth)
+def later(text: np.ndarray, first: np.ndarray, more: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """Whether a window of a smaller document equals it, for every window of entries (``_windows`` of ``first`` and ``more``).
+
+    Of equal entries only one of the least document has its windows sorted; those of greater documents are all later than its.
+    """
+    like, alone = np.arange(len(first)), np.ones(len(first), bool)
+    left, group = radix_groups(text, first, more + width)
+    if len(left):
+        o = np.lexsort((doc[left], group))
+        left, group = left[o], group[o]
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        like[left], alone[left] = left[head][group], head
+    own = np.flatnonzero(alone)
+    starts, entry = _windows(first[own], more[own])
+    left, group = radix_groups(text, starts, width)
     gone = np.zeros(len(starts), bool)
     if len(left):
-        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[left])
-        gone[left] = doc[left] > least[group]
-    return gone
+        doc_of = doc[own[entry[left]]]
+        gone[left] = doc_of > np.minimum.reduceat(doc_of, np.flatnonzero(np.diff(group, prepend=-1)))[group]
+    at = np.zeros(len(first), np.int64)
+    at[own] = np.cumsum(more[own] + 1) - more[own] - 1
+    same, entry = _windows(at[like], more)
+    return gone[same] | (doc > doc[like])[entry]
 
 
 class Bytes:
@@ -86,6 +110,7 @@ class Bytes:
                     tokens = 0
         settle()
         self.gram, row, self.lo, self.more = (np.concatenate(c) if found else np.zeros(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (U64, np.int64, np.int64, np.int64), strict=True))
+        self.gram = mix(self.gram)  # least hashes are small, so by their own upper bits a few buckets would get most strings
         self.doc = block.ids[row]
 
 
@@ -139,7 +164,7 @@ def _grams(number: int, block: Block, width: int, gram: int, bits: int) -> list[
 
 
 def _sorter(width: int, gram: int, bits: int):
-    """Sorts the windows of a block whose string repeats, and sends on the first of those whose string other blocks hold."""
+    """Sorts the windows of a block whose string several of its documents hold, and sends on the first of those whose string other blocks hold."""
 
     def run(number: int, block: Block, known: pa.Table) -> pa.Table:
         own = Bytes(block, width, gram)
@@ -147,9 +172,11 @@ def _sorter(width: int, gram: int, bits: int):
         got = reply(known)
         far = (got > 0)[place] if len(keys) else np.zeros(0, bool)
         hot = (got > 1)[place] if len(keys) else np.zeros(0, bool)
-        entries = np.flatnonzero(far | (low < high)[place]) if len(keys) else np.zeros(0, np.int64)
+        near = (low < high)[place] if len(keys) else np.zeros(0, bool)
+        entries = np.flatnonzero(far | near)
         starts, entry = _windows(own.lo[entries], own.more[entries])
-        gone = later(own.data, starts, own.doc[entries][entry], width)
+        gone = np.zeros(len(starts), bool)
+        gone[near[entries][entry]] = later(own.data, own.lo[near], own.more[near], own.doc[near], width)
         out = [(1, number, -1, state(np.sort(starts[gone])))]
         stays = np.zeros(len(entries), bool)
         stays[entry[~gone]] = True
@@ -190,21 +217,23 @@ def _settler(width: int):
             windows += np.bincount(e.below, e.more.astype(np.int64) + 1, 1 << 16).astype(np.int64)
         # a portion ends with the string that fills it
         cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(windows) // PORTION, prepend=0)) + 1).tolist(), 1 << 16]
-        found, owner = [], []
+        found = []
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             doc, lo, more, texts = zip(*(e.between(low, high) for e in entries), strict=True)
-            block = np.repeat(blocks, [len(d) for d in doc])
+            owner = np.repeat(np.arange(len(entries)), [len(d) for d in doc])
             doc, lo, more = np.concatenate(doc), np.concatenate(lo).astype(np.int64), np.concatenate(more).astype(np.int64)
             first = np.cumsum(more + width) - more - width
             starts, entry = _windows(first, more)
-            gone = np.flatnonzero(later(np.frombuffer(b"".join(texts), np.uint8), starts, doc[entry], width))
-            found.append(lo[entry[gone]] + starts[gone] - first[entry[gone]])
-            owner.append(block[entry[gone]])
-        place, owner = np.concatenate(found), np.concatenate(owner)
-        o = np.lexsort((place, owner))
-        place, owner = place[o], owner[o]
-        edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-        return pa.Table.from_batches([rows([(1, int(owner[a]), -1, state(place[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b])])
+            gone = np.flatnonzero(later(np.frombuffer(b"".join(texts), np.uint8), first, more, doc, width))
+            entry, starts = entry[gone], starts[gone]
+            found.append(owner[entry].astype(U64) << U64(32) | (lo[entry] + starts - first[entry]).astype(U64))
+        place = np.concatenate(found)
+        found.clear()
+        place.sort()
+        owner = (place >> U64(32)).astype(np.uint32)
+        edges = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
+        out = [(1, int(blocks[owner[a]]), -1, state((place[a:b] & U64(0xFFFFFFFF)).astype(np.int64))) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+        return pa.Table.from_batches([rows(out)])
 
     return settle
 
@@ -243,20 +272,21 @@ def dedup_bytes(docs: DataFrame, width: int = BYTES, gram: int = GRAM) -> DataFr
     """
     docs = keyed(docs, "doc_id", "text", doc_id="long")
     sizes = Sizes(docs)
+    bits = sizes.bits - 1  # strings are spread evenly over them
     blocks = blocked(docs, sizes)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-                yield rows(_grams(number, Block(packed), width, gram, sizes.bits))
+                yield rows(_grams(number, Block(packed), width, gram, bits))
 
     known = materialise(answered(blocks.mapInArrow(first, SCHEMA), sizes, lambda total, count: np.where(count > 1, 1 + (total > HOT), 0).astype(np.uint8)), "open")
-    sent = materialise(each_block(blocks, known, sizes, _sorter(width, gram, sizes.bits), SCHEMA), "sorted")
+    sent = materialise(each_block(blocks, known, sizes, _sorter(width, gram, bits), SCHEMA), "sorted")
     entries = sent.where(f"kind = {ENTRY}")
     if not sent.where(f"kind = {WINDOW}").isEmpty():
         asked = sent.where(f"kind = {WINDOW}").selectExpr("0 AS kind", "block", "bucket", "payload")
         known = answered(asked, sizes, lambda total, count: (count > 1).astype(np.uint8)).unionByName(sent.where(f"kind = {LATER}"))
-        entries = entries.unionByName(materialise(each_block(blocks, known, sizes, _hot(width, sizes.bits), SCHEMA), "hot"))
+        entries = entries.unionByName(materialise(each_block(blocks, known, sizes, _hot(width, bits), SCHEMA), "hot"))
     found = by_bucket(entries.selectExpr("0 AS kind", "block", "bucket", "payload"), sizes, _settler(width))
     known = sent.where("kind = 1").unionByName(found)
     return each_block(blocks, known, sizes, _finisher(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

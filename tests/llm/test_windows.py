@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessaline.llm import anchors, substring, suffix
+from tessaline.llm import anchors, blocks, substring, suffix
 from tessaline.llm.words import Windows
 
 from .cases import odd_docs, odd_rows
@@ -88,6 +89,67 @@ def test_radix_groups():
         assert sorted(map(sorted, (set(left[group == g].tolist()) for g in np.unique(group)))) == sorted(sorted(g) for g in by.values() if len(g) > 1)
 
 
+def test_radix_groups_of_several_depths():
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    for n, high in ((0, 2), (1, 30), (300, 3), (300, 30)):
+        starts, depth = rng.integers(0, 370, n), rng.integers(1, high, n)
+        starts[: n // 10], depth[: n // 10] = 400 - depth[: n // 10], depth[: n // 10]  # these end with the text
+        left, group = suffix.radix_groups(text, starts, depth)
+        by = {}
+        for i, (s, d) in enumerate(zip(starts.tolist(), depth.tolist(), strict=True)):
+            by.setdefault(bytes(text[s : s + d]), set()).add(i)
+        assert sorted(sorted(left[group == g].tolist()) for g in np.unique(group)) == sorted(sorted(g) for g in by.values() if len(g) > 1)
+
+
+def counted(monkeypatch):
+    """The numbers of suffixes that are sorted from now on."""
+    sizes, sort = [], suffix.radix_groups
+    monkeypatch.setattr(suffix, "radix_groups", lambda text, starts, depth: (sizes.append(len(starts)), sort(text, starts, depth))[1])
+    return sizes
+
+
+def in_block(rows, answer):
+    """The windows found in a block when each of its strings gets the same answer."""
+    block = blocks.Block(blocks.Block.pack([r[0] for r in rows], [r[1] for r in rows]))
+    strings = len(set(suffix.Bytes(block, 50, 24).gram.tolist()))
+    out = suffix._sorter(50, 24, 8)(0, block, pa.Table.from_batches([blocks.rows([(2, 0, 0, bytes([answer]) * strings)])]))
+    return blocks.starts_of(out).tolist(), out
+
+
+def test_windows_of_equal_entries_are_sorted_once(monkeypatch):
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(1500))
+    rows = [(i, text) for i in rng.sample(range(100), 40)] + [(7, text), (101, b"+" + text[300:420] + b"+")]
+    tokens, ends = [(i, t) for i, t in rows], np.cumsum([len(t) for _, t in rows])
+    least = min(i for i, _ in rows)
+    sizes = counted(monkeypatch)
+    found, out = in_block(rows, 0)
+    expected = [int(e) - len(t) + s for (i, t), e in zip(tokens, ends, strict=True) for s in range(len(t) - 49) if i > least and b"+" not in t[s : s + 50]]
+    assert found == expected
+    assert sum(sizes) < 10_000  # of 60,000 windows
+    # a bucket gets the entries of three blocks
+    _, out = in_block([(50, text)], 1)
+    sent = [r for r in zip(*out.to_pydict().values(), strict=True) if r[0] == suffix.ENTRY]
+    later = [r for r in zip(*in_block([(60, text)], 1)[1].to_pydict().values(), strict=True) if r[0] == suffix.ENTRY]
+    sizes.clear()
+    got = {0: [], 1: [], 2: []}
+    for bucket in {r[2] for r in sent}:
+        own = [(0, number, b, p) for number, of in ((0, later), (1, sent), (2, later)) for _, _, b, p in of if b == bucket]
+        for _, number, _, p in zip(*suffix._settler(50)(pa.Table.from_batches([blocks.rows(own)])).to_pydict().values(), strict=True):
+            got[number] += np.cumsum(np.frombuffer(p, "<u4")).tolist()
+    assert {k: sorted(v) for k, v in got.items()} == {0: [*range(1451)], 1: [], 2: [*range(1451)]}
+    assert sum(sizes) < 2_200  # of 4,353 windows
+
+
+def test_a_block_leaves_strings_of_one_document_to_buckets(monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, bytes(rng.choice(b"abcdefgh") for _ in range(400)) * 2) for i in range(10)]
+    sizes = counted(monkeypatch)
+    found, out = in_block(rows, 1)
+    assert found == [] and sum(sizes) == 0 and suffix.ENTRY in out.column("kind").to_pylist()
+
+
 def test_hot_strings_are_dealt_by_windows(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", 3)
     monkeypatch.setattr(suffix, "PORTION", 8)
