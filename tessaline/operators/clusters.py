@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +45,31 @@ def best_scores(pairs: DataFrame, query: str = "query", target: str = "target",
     return p.groupBy(F.least(query, target).alias("a"), F.greatest(query, target).alias("b")).agg(F.max(F.col(score).cast("double")).alias("score"))
 
 
-def _cover(start: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """The representative of each member by greedy set cover; member i has the distinct neighbours near[start[i]:start[i + 1]].
+#: Pairs that are covered in one task without asking for components, and about as many as tasks get when whole components are dealt.
+ALONE, SHARE = 8_000_000, 2_000_000
+#: Names that one task links to components, in arrays of 16 bytes a name at most.
+TASK_NAMES = 50_000_000
+_CHUNK = 1 << 20
+
+
+def _cover(first: array, hoods: array) -> np.ndarray:
+    """The representative of each member by greedy set cover; member i has the distinct neighbours hoods[first[i]:first[i + 1]].
 
     Counts only fall, so whoever will be picked at the greatest count has it when the first of them is: a level is one pass in the
     order of members. Levels are taken down to half of the greatest count at a time, so only members above that are looked at.
     """
     # arrays for single members, seen as numpy for all at once
-    first, hoods = array("q", start.astype(np.int64).tobytes()), array("i", near.astype(np.int32).tobytes())
-    size, rep = array("i", (np.diff(start) + 1).astype(np.int32).tobytes()), array("i", [-1]) * (len(start) - 1)
+    size, rep = array("i", [0]) * (len(first) - 1), array("i", [-1]) * (len(first) - 1)
     sizes, reps = np.frombuffer(size, np.int32), np.frombuffer(rep, np.int32)
+    starts = np.frombuffer(first, np.int64)
+    sizes[:] = starts[1:] - starts[:-1] + 1
     while len(left := np.flatnonzero(reps < 0)):
         floor = int(sizes[left].max()) // 2
         if not floor:  # no links are left
             reps[left] = left
             break
         ahead = left[sizes[left] > floor]
+        del left
         while len(ahead):
             most = int(sizes[ahead].max())
             for m in ahead[sizes[ahead] == most].tolist():
@@ -77,19 +89,114 @@ def cover(members: list, neighbours: dict) -> dict:
     names = sorted(members)
     index = {m: i for i, m in enumerate(names)}
     near = [[index[x] for x in neighbours.get(m, ())] for m in names]
-    rep = _cover(np.cumsum([0, *map(len, near)]), np.array([x for hood in near for x in hood], np.int32))
+    rep = _cover(array("q", np.cumsum([0, *map(len, near)]).tolist()), array("i", [x for hood in near for x in hood]))
     return {m: names[r] for m, r in zip(names, rep.tolist(), strict=True)}
 
 
-def cover_pairs(pairs: pa.Table) -> pa.Table:
-    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of whole numbers, in arrays."""
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    names = np.unique(np.concatenate([a, b]))
-    a, b = (np.searchsorted(names, x).astype(np.int32) for x in (a, b))
-    ends = np.concatenate([a, b])
-    near = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
-    rep = _cover(np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(names)))]), near)
-    return pa.table({"cluster_rep": names[rep], "cluster_member": names})
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The columns a and b of the batches, many rows at a time."""
+    held, n = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
+            n += batch.num_rows
+        if n >= _CHUNK or batch is None and n:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+
+
+def cover_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of whole numbers from 0 on, below 2^31.
+
+    Pairs are kept in a temporary file of the task while they are counted and numbered anew, so that only the lists of neighbours
+    (8 bytes a pair) and the members are held.
+    """
+    with TemporaryFile() as spool:
+        seen, n = np.zeros(0, bool), 0
+        for a, b in _chunks(batches):
+            if (top := int(max(a.max(), b.max()))) >= len(seen):
+                seen = np.concatenate([seen, np.zeros(max(top + 1, 2 * len(seen)) - len(seen), bool)])
+            seen[a] = seen[b] = True
+            spool.write(np.stack([a, b], 1).astype(np.int32).tobytes())
+            n += len(a)
+        if not n:
+            return
+        spool.flush()
+        names = np.flatnonzero(seen).astype(np.int32)
+        index = np.cumsum(seen, dtype=np.int32)  # of the next name
+        del seen
+
+        def links() -> Iterator[np.ndarray]:
+            """(end, other end) in both directions, by the first."""
+            spool.seek(0)
+            while size := len(part := np.frombuffer(spool.read(8 * _CHUNK), np.int32)):
+                ab = (index[part] - 1).reshape(size // 2, 2)
+                ends, others = np.concatenate([ab[:, 0], ab[:, 1]]), np.concatenate([ab[:, 1], ab[:, 0]])
+                order = np.argsort(ends, kind="stable")
+                yield ends[order], others[order]
+
+        first, hoods = array("q", [0]) * (len(names) + 1), array("i", [0]) * (2 * n)
+        starts, near = np.frombuffer(first, np.int64), np.frombuffer(hoods, np.int32)
+        for ends, _ in links():
+            np.add.at(starts, ends + 1, 1)
+        np.cumsum(starts, out=starts)
+        for ends, others in links():  # first[i] moves on to first[i + 1] as the neighbours of i are placed
+            runs = np.flatnonzero(np.diff(ends, prepend=-1))
+            lengths = np.diff(runs, append=len(ends))
+            near[starts[ends] + np.arange(len(ends)) - np.repeat(runs, lengths)] = others
+            starts[ends[runs]] += lengths
+        starts[1:] = starts[:-1].copy()
+        starts[0] = 0
+        del index
+    rep = _cover(first, hoods)
+    del starts, near, first, hoods
+    for i in range(0, len(names), _CHUNK // 16):
+        member = slice(i, i + _CHUNK // 16)
+        yield pa.RecordBatch.from_pydict({"cluster_rep": names[rep[member]].astype(np.int64), "cluster_member": names[member].astype(np.int64)})
+
+
+def _link(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Links the trees of a and b in ``root``, which has a name at or below it, in the same component, for every name."""
+    while len(a):
+        ends = []
+        for x in (a, b):
+            r = root[x]
+            while ((up := root[r]) != r).any():
+                r = up
+            root[x] = r
+            ends.append(r)
+        apart = ends[0] != ends[1]
+        a, b = np.minimum(*ends)[apart], np.maximum(*ends)[apart]
+        np.minimum.at(root, b, a)
+        while ((up := root[root[b]]) != root[b]).any():
+            root[b] = up
+
+
+def bin_pairs(batches: Iterable[pa.RecordBatch], names: int, share: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(a, bin) for every a of the pairs (a, b), numbers below ``names``: whole components, about ``share`` pairs a bin.
+
+    Bins are numbered from 0 and hold less than twice the share, or a single component of up to ``most`` pairs; larger components get
+    -1. Only names are held, not pairs.
+    """
+    root, count = np.arange(names, dtype=np.int32), np.zeros(names, np.int32)
+    for a, b in _chunks(batches):
+        np.add.at(count, a, 1)
+        _link(root, a.astype(np.int32), b.astype(np.int32))
+    while ((up := root[root]) != root).any():
+        root = up
+    total = np.zeros(names, np.int64)
+    np.add.at(total, root, count)
+    tops = np.flatnonzero(total)
+    size = total[tops]
+    few, own = size <= min(share, most), (size > share) & (size <= most)
+    bins = np.full(len(tops), -1, np.int64)
+    bins[few] = (np.cumsum(size[few]) - size[few]) // max(1, share)
+    bins[own] = np.arange(own.sum()) + bins.max(initial=-1) + 1
+    total[tops] = bins
+    a = np.flatnonzero(count)
+    for i in range(0, len(a), _CHUNK // 16):
+        part = a[i : i + _CHUNK // 16]
+        yield pa.RecordBatch.from_pydict({"a": part, "bin": total[root[part]]})
 
 
 def _pick(open_pairs: DataFrame) -> DataFrame:
@@ -109,23 +216,39 @@ def _pick(open_pairs: DataFrame) -> DataFrame:
     return claimed.unionByName(reps.select(F.col("a").alias("cluster_rep"), F.col("a").alias("cluster_member")))
 
 
-def _covered(rest: DataFrame, task_pairs: int) -> DataFrame:
-    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of whole numbers.
+def _bins(pairs: DataFrame, n: int, names: int, task_pairs: int) -> DataFrame:
+    """(a, bin) for every a of ``n`` pairs, as by ``bin_pairs``; of more names than a task links, components are found by joins."""
+    share = min(SHARE, task_pairs)
+    if names <= TASK_NAMES:
+        return materialise(pairs.coalesce(1).mapInArrow(lambda batches: bin_pairs(batches, names, share, task_pairs), "a long, bin long"), "bins")
+    comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "a")
+    linked = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")).join(comp, "a"), "linked")
+    sizes = materialise(linked.groupBy("component").agg(F.sum("n").alias("n")), "sizes")
+    few = -(-n // max(1, share))
+    # at most n / share components have a bin of their own
+    own = sizes.where((F.col("n") > share) & (F.col("n") <= task_pairs)).select("component", (F.row_number().over(Window.orderBy("component")) - 1 + few).alias("own"))
+    dealt = sizes.join(own, "component", "left").select("component", F.when(F.col("n") > task_pairs, -1).otherwise(F.coalesce("own", F.pmod(F.xxhash64("component"), F.lit(few)))).cast("long").alias("bin"))
+    return materialise(linked.join(dealt, "component").select("a", "bin"), "bins")
+
 
-    Up to ``task_pairs`` pairs are covered in one task. Of more, components of up to so many are dealt to tasks, the small ones
+def _covered(rest: DataFrame, names: int, task_pairs: int) -> DataFrame:
+    """(cluster_rep, cluster_member) by greedy set cover of distinct pairs (a, b) of numbers below ``names``.
+
+    A few pairs are covered in one task. Of more, components of up to ``task_pairs`` pairs are dealt to tasks, the small ones
     several to a task; in larger ones all picks that no other can forestall are made by joins, until they have shrunk.
     """
     schema = "cluster_rep long, cluster_member long"
     parts, n = [], rest.count()
-    while n > task_pairs:
-        comp = connected_components(rest, "a", "b")
-        linked = materialise(rest.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b"), "linked")
-        sizes = linked.groupBy("component").agg(F.count("*").alias("n"))
-        small = linked.join(sizes.where(F.col("n") <= task_pairs), "component")
-        some = max(1, task_pairs // 8)  # pairs of a task that has several components; names are not negative
-        bin_ = F.when(F.col("n") > some, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(-(-n // some))))
-        parts.append(materialise(small.select(bin_.alias("bin"), "a", "b").groupBy("bin").applyInArrow(cover_pairs, schema), "covered"))
-        rest = materialise(linked.join(sizes.where(F.col("n") > task_pairs), "component", "left_semi").select("a", "b"), "rest")
+    while n > min(task_pairs, ALONE):
+        bins = _bins(rest, n, names, task_pairs)
+        least, most = bins.agg(F.min("bin"), F.max("bin")).first()
+        if most >= 0:
+            dealt = rest.join(bins.where("bin >= 0"), "a").repartitionById(most + 1, F.col("bin").cast("int")).select("a", "b")
+            parts.append(materialise(dealt.mapInArrow(cover_pairs, schema), "covered"))
+        if least >= 0:
+            n = 0
+            break
+        rest = materialise(rest.join(bins.where("bin < 0"), "a", "left_semi").select("a", "b"), "rest")
         for _ in range(4):
             if (n := rest.count()) <= task_pairs:
                 break
@@ -134,14 +257,14 @@ def _covered(rest: DataFrame, task_pairs: int) -> DataFrame:
             rest = materialise(rest.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "rest")
         n = rest.count()
     if n:
-        parts.append(materialise(rest.coalesce(1).mapInArrow(lambda batches: cover_pairs(pa.Table.from_batches(batches)).to_batches(10_000), schema), "covered"))
+        parts.append(materialise(rest.coalesce(1).mapInArrow(cover_pairs, schema), "covered"))
     out = rest.sparkSession.createDataFrame([], schema)
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
-def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True, task_pairs: int = 8_000_000) -> DataFrame:
+def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "alntmscore", all_inputs: DataFrame | None = None, reassign: bool = True, task_pairs: int = 40_000_000) -> DataFrame:
     """(cluster_rep, cluster_member) by greedy set cover, then members moved to representatives of strictly higher score.
 
     Names are numbered in their order first, so that pairs are pairs of numbers, of which a task holds ``task_pairs`` in arrays. A pick
@@ -153,13 +276,17 @@ def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "targe
     if all_inputs is not None:
         seen = seen.unionByName(all_inputs.select(F.col(all_inputs.columns[0]).alias("m")))
     kind = dict(seen.dtypes)["m"]
-    # ranges of names in their order, and within them too
+    # ranges of names in their order, and within them too: partition and row, of which a few counts make numbers without gaps
     names = seen.where("m is not null").distinct().repartitionByRange("m").sortWithinPartitions("m").select("m", F.monotonically_increasing_id().alias("i"))
-    names = materialise(names, "names")
+    names = materialise(names.select("m", F.shiftright("i", 33).alias("range"), F.expr("i & 8589934591").alias("row")), "names")
+    before = names.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    before = materialise(before, "before")
+    total = names.count()
+    names = names.join(F.broadcast(before), "range").select("m", (F.col("before") + F.col("row")).alias("i"))
     for end in "qt":
         pairs = pairs.withColumn(end, F.col(end).cast(kind)).join(names.select(F.col("m").alias(end), F.col("i").alias(f"{end}i")), end).drop(end)
     scores = materialise(best_scores(pairs, "qi", "ti", "score"), "scores")
-    out = _covered(scores.select("a", "b"), task_pairs)
+    out = _covered(scores.select("a", "b"), total, task_pairs)
     alone = names.select("i").join(out.select(F.col("cluster_member").alias("i")), "i", "left_anti")
     out = materialise(out.unionByName(alone.select(F.col("i").alias("cluster_rep"), F.col("i").alias("cluster_member"))), "clusters")
     if reassign:

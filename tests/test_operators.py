@@ -2,8 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tessaline.operators import clusters as C
 from tessaline.operators import structures as X
 from tessaline.operators import taxonomy as N
 
+from .test_graph import brute as components
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
@@ -127,6 +131,48 @@ def test_greedy_cover_needs_no_components_where_a_task_holds_all(spark, monkeypa
     assert {r.cluster_member: r.cluster_rep for r in C.greedy_clusters(df).collect()} == brute_cover(pairs)
 
 
+@pytest.mark.parametrize("task_names", [100, 0])
+def test_greedy_cover_deals_whole_components(spark, monkeypatch, task_names):
+    """Rounds of components by joins took half of the time over 36,000,000 pairs; only names too many for a task need them."""
+    monkeypatch.setattr(C, "ALONE", 4)
+    monkeypatch.setattr(C, "SHARE", 5)
+    monkeypatch.setattr(C, "TASK_NAMES", task_names)
+    monkeypatch.setattr(C, "connected_components", C.connected_components if not task_names else lambda *_: pytest.fail("components"))
+    rng = random.Random(6)
+    pairs = [(f"{k}n{rng.randrange(size):02}", f"{k}n{rng.randrange(size):02}") for k, size in enumerate([2, 3, 2, 4, 9, 14, 3]) for _ in range(2 * size)]
+    df = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "query string, target string, alntmscore double")
+    assert {r.cluster_member: r.cluster_rep for r in C.greedy_clusters(df, task_pairs=60).collect()} == brute_cover(pairs)
+
+
+def batches(pairs, size=7):
+    return pa.Table.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64())])).to_batches(size)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 16])
+def test_streamed_pairs(monkeypatch, chunk):
+    """Components and cover of pairs that come in many chunks."""
+    monkeypatch.setattr(C, "_CHUNK", chunk)
+    rng = random.Random(7)
+    chain = [(i, i + 1) for i in range(299)]
+    graphs = [chain, chain[::-1], rng.sample(chain, 299), [], [(0, i) for i in range(1, 300)], [(i, 299) for i in range(299)]]
+    graphs += [sorted({(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(n)) if a < b}) for n in (20, 150, 300, 900)]
+    for pairs in graphs:
+        got = pa.Table.from_batches(C.cover_pairs(batches(pairs)), pa.schema([("cluster_rep", pa.int64()), ("cluster_member", pa.int64())])).to_pylist()
+        assert {r["cluster_member"]: r["cluster_rep"] for r in got} == brute_cover(pairs)
+        comp = components(pairs)
+        for share, most in ((5, 100), (50, 50), (0, 0), (1000, 1000)):
+            bins = {a: k for part in C.bin_pairs(batches(pairs), 300, share, most) for a, k in zip(*part.to_pydict().values(), strict=True)}
+            assert bins.keys() == {a for a, _ in pairs}
+            size, held, where = Counter(comp[a] for a, _ in pairs), {}, {}
+            for a, k in bins.items():
+                where.setdefault(comp[a], set()).add(k)
+            for c, ks in where.items():
+                assert len(ks) == 1 and (ks == {-1}) == (size[c] > most)
+                held.setdefault(*ks, []).append(size[c])
+            held.pop(-1, None)
+            assert sorted(held) == list(range(len(held))) and all(len(v) == 1 or sum(v) < 2 * share for v in held.values())
+
+
 def test_cover_function_on_large_random_graphs():
     rng = random.Random(9)
     for _ in range(300):
