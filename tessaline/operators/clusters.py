@@ -138,7 +138,7 @@ def cover_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, hoods = array("q", [0]) * (len(names) + 1), array("i", [0]) * (2 * n)
         starts, near = np.frombuffer(first, np.int64), np.frombuffer(hoods, np.int32)
         for ends, _ in links():
-            np.add.at(starts, ends + 1, 1)
+            np.add.at(starts, ends + 1, np.int64(1))
         np.cumsum(starts, out=starts)
         for ends, others in links():  # first[i] moves on to first[i + 1] as the neighbours of i are placed
             runs = np.flatnonzero(np.diff(ends, prepend=-1))
@@ -180,7 +180,7 @@ def bin_pairs(batches: Iterable[pa.RecordBatch], names: int, share: int, most: i
     """
     root, count = np.arange(names, dtype=np.int32), np.zeros(names, np.int32)
     for a, b in _chunks(batches):
-        np.add.at(count, a, 1)
+        np.add.at(count, a, np.int32(1))
         _link(root, a.astype(np.int32), b.astype(np.int32))
     while ((up := root[root]) != root).any():
         root = up
@@ -277,7 +277,8 @@ def greedy_clusters(pairs: DataFrame, query: str = "query", target: str = "targe
         seen = seen.unionByName(all_inputs.select(F.col(all_inputs.columns[0]).alias("m")))
     kind = dict(seen.dtypes)["m"]
     # ranges of names in their order, and within them too: partition and row, of which a few counts make numbers without gaps
-    names = seen.where("m is not null").distinct().repartitionByRange("m").sortWithinPartitions("m").select("m", F.monotonically_increasing_id().alias("i"))
+    names = materialise(seen.where("m is not null").distinct(), "distinct")  # read twice: for the ranges' bounds, and to be dealt
+    names = names.repartitionByRange("m").sortWithinPartitions("m").select("m", F.monotonically_increasing_id().alias("i"))
     names = materialise(names.select("m", F.shiftright("i", 33).alias("range"), F.expr("i & 8589934591").alias("row")), "names")
     before = names.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     before = materialise(before, "before")
